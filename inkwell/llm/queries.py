@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.components import connected_components, star_edges
 from inkwell.llm.contacts import company_claims, company_features
 from inkwell.llm.survivors import survivors
+from inkwell.llm.tokens import decode_corpus, encode_corpus
 from inkwell.plans.runtime import cut, table
 
 
@@ -39,5 +40,14 @@ def p4_currency(spark, sf_dir):
     return survivors(cut(_claims(spark, sf_dir)), currency=True)
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_currency": p4_currency}
-ORACLES: dict[str, str] = {}
+def p6_ids(spark, sf_dir):
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p6_decoded(spark, sf_dir):
+    """Every text decoded from its ids again; null texts come back empty."""
+    return decode_corpus(p6_ids(spark, sf_dir))
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_currency": p4_currency, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
+ORACLES: dict[str, str] = {"p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}
