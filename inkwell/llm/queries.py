@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.components import connected_components, star_edges
 from inkwell.llm.contacts import company_claims, company_features
 from inkwell.llm.leaks import find_leaks
+from inkwell.llm.reading import reading_levels
 from inkwell.llm.survivors import survivors
 from inkwell.llm.tokens import decode_corpus, encode_corpus
 from inkwell.plans.runtime import cut, table
@@ -54,5 +55,13 @@ def p7_found(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_currency": p4_currency, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found}
+def p8_levels(spark, sf_dir):
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark, sf_dir):
+    return p8_levels(spark, sf_dir).where("band <> 'standard'").select("doc_id", "band")
+
+
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_currency": p4_currency, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p8_levels": p8_levels, "p8_found": p8_found}
 ORACLES: dict[str, str] = {"p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}
