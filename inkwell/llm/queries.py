@@ -8,11 +8,24 @@ from inkwell.llm.components import connected_components, star_edges
 from inkwell.llm.contacts import company_claims, company_features
 from inkwell.llm.leaks import find_leaks
 from inkwell.llm.reading import reading_levels
+from inkwell.llm.scans import find_noise, restore_text
 from inkwell.llm.survivors import survivors
 from inkwell.llm.tokens import decode_corpus, encode_corpus
 from inkwell.plans.runtime import cut, table
 
 
+def _scans(spark, sf_dir):
+    return tuple(table(spark, sf_dir, t) for t in ("ingestion_pages", "ingestion_occurrences", "ingestion_documents"))
+
+
+def p2_found(spark, sf_dir):
+    return find_noise(*_scans(spark, sf_dir))
+
+
+def p2_restored(spark, sf_dir):
+    return restore_text(*_scans(spark, sf_dir))
+
+
 def company_groups(spark, sf_dir):
     return connected_components(star_edges(company_features(table(spark, sf_dir, "companies")), "company_id", "feature"))
 
@@ -63,5 +76,5 @@ def p8_found(spark, sf_dir):
     return p8_levels(spark, sf_dir).where("band <> 'standard'").select("doc_id", "band")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_currency": p4_currency, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p8_levels": p8_levels, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_currency": p4_currency, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p8_levels": p8_levels, "p8_found": p8_found}
 ORACLES: dict[str, str] = {"p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}
