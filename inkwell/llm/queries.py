@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.components import connected_components, star_edges
 from inkwell.llm.contacts import company_claims, company_features
 from inkwell.llm.leaks import find_leaks
+from inkwell.llm.names import link_names
 from inkwell.llm.reading import reading_levels
 from inkwell.llm.scans import find_noise, restore_text
 from inkwell.llm.survivors import survivors
@@ -55,6 +56,10 @@ def p4_currency(spark, sf_dir):
     return survivors(cut(_claims(spark, sf_dir)), currency=True)
 
 
+def p5_found(spark, sf_dir):
+    return link_names(table(spark, sf_dir, "companies"), table(spark, sf_dir, "ingestion_occurrences"))
+
+
 def p6_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -76,5 +81,5 @@ def p8_found(spark, sf_dir):
     return p8_levels(spark, sf_dir).where("band <> 'standard'").select("doc_id", "band")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_currency": p4_currency, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p8_levels": p8_levels, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_currency": p4_currency, "p5_found": p5_found, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p8_levels": p8_levels, "p8_found": p8_found}
 ORACLES: dict[str, str] = {"p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}
