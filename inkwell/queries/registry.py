@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rolling",)
+MODULES = ("rolling", "filters")
 
 
 def merge(*parts: dict) -> dict:
