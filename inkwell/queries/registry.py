@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rolling", "filters")
+MODULES = ("rolling", "filters", "joining")
 
 
 def merge(*parts: dict) -> dict:
