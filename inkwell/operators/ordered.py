@@ -12,6 +12,31 @@ def link_hash(parts: list[Column], prev: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts], prev), 256)
 
 
+def build_chain(entries: DataFrame, by: list[str], seq: str, parts: list[str]) -> DataFrame:
+    """Adds prev_hash and hash, each entry's hash taken over its parts and its predecessor's. A chain is sequential by nature, so its entries
+    go through one task in order; only the running hash is held."""
+    import hashlib
+
+    keys = [*by, seq, *parts]
+    kinds = dict(entries.dtypes)
+
+    def walk(batches):
+        last = prev = None
+        for batch in batches:
+            out_prev, out_hash = [], []
+            for row in batch[keys].itertuples(index=False, name=None):
+                chain = row[: len(by)]
+                if chain != last:
+                    last, prev = chain, GENESIS
+                out_prev.append(prev)
+                prev = hashlib.sha256("|".join([*("" if v is None else str(v) for v in row[len(by) :]), prev]).encode()).hexdigest()
+                out_hash.append(prev)
+            yield batch[keys].assign(prev_hash=out_prev, hash=out_hash)
+
+    ordered = entries.select(*keys).repartition(*by).sortWithinPartitions(*by, seq)
+    return ordered.mapInPandas(walk, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", prev_hash string, hash string")
+
+
 def verify_chain(entries: DataFrame, by: list[str], seq: str, parts: list[str]) -> DataFrame:
     """Per chain: entries, first broken sequence number (null if whole). Each row is checked against its own content and its
     predecessor's stored hash, all rows at once."""

@@ -103,12 +103,12 @@ def _(spark, d):
     return next_greater(x.select("id", "tenant_id", (F.col("id") % 7).alias("last_level")), levels, ["tenant_id"], "last_level", "level").select("id", "next_level")
 
 
-@query("join_fingerprint_carry", "with a as (select distinct id, page_id, company, preview, status, created_at from ingestion_occurrences), f as (select *, left(sha256(concat_ws(chr(31), cast(page_id as varchar), coalesce(lower(trim(regexp_replace(company, '[ \t\r\n]+', ' ', 'g'))), ''), coalesce(lower(trim(regexp_replace(preview, '[ \t\r\n]+', ' ', 'g'))), ''))), 24) as fp from a), old as (select fp, arg_min(status, (created_at, coalesce(status, ''))) as status from f group by fp), new as (select distinct id, fp from f where id % 2 = 0) select new.id, new.fp as fingerprint, coalesce(old.status, 'detected') as status from new left join old using (fp)")
+@query("join_fingerprint_carry", "with a as (select distinct id, page_id, company, preview, status, created_at from ingestion_occurrences), f as (select *, left(sha256(concat_ws(chr(31), cast(page_id as varchar), coalesce(lower(trim(regexp_replace(company, '[ \t\r\n]+', ' ', 'g'))), ''), coalesce(lower(trim(regexp_replace(preview, '[ \t\r\n]+', ' ', 'g'))), ''))), 24) as fp from a), old as (select fp, arg_min(status, (created_at, coalesce(status, ''))) as status from f group by fp), new as (select distinct id, fp from f) select new.id, new.fp as fingerprint, coalesce(old.status, 'detected') as status from new left join old using (fp)")
 def _(spark, d):
     parts = F.concat_ws("\u001f", F.col("page_id").cast("string"), F.coalesce(T.folded(F.col("company")), F.lit("")), F.coalesce(T.folded(F.col("preview")), F.lit("")))
     a = table(spark, d, "ingestion_occurrences").select("id", "page_id", "company", "preview", "status", "created_at").distinct().withColumn("fingerprint", F.left(F.sha2(parts, 256), F.lit(24)))
     old = a.groupBy("fingerprint").agg(F.min_by("status", F.struct("created_at", F.coalesce("status", F.lit("")))).alias("old"))
-    return a.where("id % 2 = 0").select("id", "fingerprint").distinct().join(old, "fingerprint", "left").select("id", "fingerprint", F.coalesce("old", F.lit("detected")).alias("status"))
+    return a.select("id", "fingerprint").distinct().join(old, "fingerprint", "left").select("id", "fingerprint", F.coalesce("old", F.lit("detected")).alias("status"))
 
 
 _B = "boxed as (select id, page_id, cast(json_extract_string(bbox, '$.x') as double) as x, cast(json_extract_string(bbox, '$.y') as double) as y, cast(json_extract_string(bbox, '$.width') as double) as w, cast(json_extract_string(bbox, '$.height') as double) as h from occ where bbox is not null), b as (select * from boxed where x is not null and y is not null and w is not null and h is not null)"
@@ -136,10 +136,14 @@ def _(spark, d):
     return made.join(r, "page_id").where((F.col("id") < F.col("right_id")) & share).select(F.col("id").alias("left_id"), "right_id")
 
 
-@query("join_one_edit", "with n as (select distinct left(normalized_name, 6) as k, normalized_name as n from companies where length(normalized_name) > 8) select a.n as left_name, b.n as right_name from n a join n b on a.k = b.k and a.n < b.n and levenshtein(a.n, b.n) <= 1")
+@query("join_one_edit", "with n as (select distinct normalized_name as n from companies where normalized_name <> '') select a.n as left_name, b.n as right_name from n a join n b on a.n < b.n and abs(length(a.n) - length(b.n)) <= 1 and levenshtein(a.n, b.n) <= 1")
 def _(spark, d):
-    n = table(spark, d, "companies").where("length(normalized_name) > 8").select(F.left("normalized_name", F.lit(6)).alias("k"), F.col("normalized_name").alias("left_name")).distinct()
-    return n.join(n.select("k", F.col("left_name").alias("right_name")), "k").where((F.col("left_name") < F.col("right_name")) & within_one_edit(F.col("left_name"), F.col("right_name"))).select("left_name", "right_name")
+    """Names one edit apart share what is left of them after one deletion: an equi-join instead of all pairs."""
+    n = table(spark, d, "companies").where("normalized_name <> ''").select(F.col("normalized_name").alias("name")).distinct()
+    left = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.substring("name", i + 1, F.length("name"))))
+    ways = n.select("name", F.explode(F.array_distinct(F.concat(left, F.array("name")))).alias("rest"))
+    pairs = ways.select(F.col("name").alias("left_name"), "rest").join(ways.select(F.col("name").alias("right_name"), "rest"), "rest").where("left_name < right_name").select("left_name", "right_name").distinct()
+    return pairs.where(within_one_edit(F.col("left_name"), F.col("right_name")))
 
 
 @query("join_shared_feature", "with c as (select distinct id, normalized_name as n, unnest(string_split(contact_key, '|')) as part from companies where normalized_name is not null and contact_key is not null), f as (select distinct id, n, part from c where contains(part, '=')) select distinct a.id as left_id, b.id as right_id from f a join f b on a.n = b.n and a.part = b.part and a.id < b.id")
@@ -187,9 +191,9 @@ def _(spark, d):
     return occurrences(spark, d).groupBy("document_id").agg(F.max_by("id", score).alias("best_id"), F.count(F.lit(1)).alias("variants"))
 
 
-@query("topk_array", "with w as (select id, unnest(string_split(preview, ' ')) as word from (select distinct id, preview from ingestion_occurrences where preview is not null and id % 10 = 3)), r as (select id, word, row_number() over (partition by id order by length(word) desc, word) as n from (select distinct id, word from w)) select id, string_agg(word, '|' order by n) as words from r where n <= 5 group by id")
+@query("topk_array", "with w as (select id, unnest(string_split(preview, ' ')) as word from (select distinct id, preview from ingestion_occurrences where preview is not null)), r as (select id, word, row_number() over (partition by id order by length(word) desc, word) as n from (select distinct id, word from w)) select id, string_agg(word, '|' order by n) as words from r where n <= 5 group by id")
 def _(spark, d):
-    o = table(spark, d, "ingestion_occurrences").where("preview is not null and id % 10 = 3").select("id", "preview").distinct()
+    o = table(spark, d, "ingestion_occurrences").where("preview is not null").select("id", "preview").distinct()
     ranked = F.transform(F.array_sort(F.transform(F.array_distinct(F.split("preview", " ")), lambda x: F.struct((-F.length(x)).alias("l"), x.alias("w")))), lambda x: x["w"])
     return o.select("id", F.array_join(F.slice(ranked, 1, 5), "|").alias("words"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rolling", "filters", "joining")
+MODULES = ("rolling", "filters", "joining", "grouping")
 
 
 def merge(*parts: dict) -> dict:
