@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rolling", "filters", "joining", "grouping")
+MODULES = ("rolling", "filters", "joining", "grouping", "scalars", "flows")
 
 
 def merge(*parts: dict) -> dict:
