@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.operators.groups import smallest_label
 from inkwell.plans.runtime import cut
 
 
@@ -15,11 +16,6 @@ def star_edges(features: DataFrame, item: str, feature: str) -> DataFrame:
     return features.join(low, feature).where(F.col(item) != F.col("v")).select(F.col(item).alias("u"), "v").distinct()
 
 
-def _size(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).head()
-    return row[0], row[1] or 0
-
-
 def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
     """Breadth-first from the vertex of highest degree, at most ``rounds`` frontiers deep.
 
@@ -46,30 +42,6 @@ def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
     return reached.withColumn("root", F.lit(root).cast("bigint")), cut(untouched.unionByName(leaving).distinct())
 
 
-def propagate(edges: DataFrame) -> DataFrame:
-    """(vertex, label): minimum propagation with shortcuts, for each vertex that has an edge.
-
-    Every round hangs all larger neighbours of a vertex on its smallest neighbour, then all smaller ones; a chain
-    of n links is flat after a number of rounds that grows with log n. A hub's minimum is folded before the shuffle.
-    """
-    edges = cut(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct())
-    before = _size(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # now each edge points from larger to smaller
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("a"), "m").where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
-        after = _size(edges)
-        if after == before:
-            break
-        before = after
-    label = edges.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("label"))
-    return label.unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("label")).distinct())
-
-
 def connected_components(edges: DataFrame, rounds: int = 6) -> DataFrame:
     """(vertex, group_id): for each vertex of ``edges`` (u, v) the smallest vertex linked to it, directly or not.
 
@@ -77,7 +49,7 @@ def connected_components(edges: DataFrame, rounds: int = 6) -> DataFrame:
     """
     edges = cut(edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).where("u is not null and v is not null and u <> v").distinct())
     giant, rest = peel(edges, rounds)
-    labels = propagate(rest)
+    labels = smallest_label(rest)
     if giant is None:
         return labels.select("vertex", F.col("label").alias("group_id"))
     labels = cut(labels)
