@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def either_key_join(left: DataFrame, right: DataFrame, first: str, second: str, key: str) -> DataFrame:
+def either_key_join(left: DataFrame, right: DataFrame, row: str, first: str, second: str, key: str) -> DataFrame:
     """Left rows with the right row that ``first`` or ``second`` points to: two equi-joins instead of a nested loop over an OR.
-    A right row that both point to comes once; left rows without any stay, with nulls."""
+    ``row`` names left rows; a right row that both keys point to comes once; left rows without any stay, with nulls."""
     side = right.select(F.col(key).alias("_key"), *[F.col(c).alias(f"r_{c}") for c in right.columns])
-    tagged = left.withColumn("_row", F.monotonically_increasing_id())
     keys = F.array_distinct(F.array_compact(F.array(first, second)))
-    exploded = tagged.withColumn("_key", F.explode_outer(keys)).join(side, "_key", "left").drop("_key")
+    exploded = left.withColumn("_key", F.explode_outer(keys)).join(side, "_key", "left").drop("_key")
     # of a row whose keys both miss, or of which one misses, keep what matched, else one row of nulls
     from pyspark.sql import Window
 
-    w = Window.partitionBy("_row")
+    w = Window.partitionBy(row)
     hit = F.col(f"r_{key}").isNotNull()
     ranked = exploded.withColumn("_hits", F.sum(hit.cast("int")).over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.col(f"r_{key}").asc_nulls_last())))
-    return ranked.where(hit | ((F.col("_hits") == 0) & (F.col("_n") == 1))).drop("_row", "_hits", "_n")
+    return ranked.where(hit | ((F.col("_hits") == 0) & (F.col("_n") == 1))).drop("_hits", "_n")
 
 
 def next_greater(left: DataFrame, right: DataFrame, by: list[str], value: str, of: str) -> DataFrame:

@@ -49,13 +49,13 @@ class TwoStackWindow:
 def daily_totals(df: DataFrame, key: str, entity: str, ts: str, value: str) -> DataFrame:
     """(entity, day, day_total, day_max, day_min): every ``key`` counted once, folded before and after the shuffle.
 
-    Rows without entity or time are left out; a null value counts as 0; rows whose key is null can't be
-    recognised as repeats and count each. Columns of other names in ``df`` don't matter.
+    Rows without entity or time are left out; a null value counts as 0; rows whose key is null can't be recognised as
+    repeats and count each; deliveries of one key that differ in entity, day or value count each. Columns of other names in ``df`` don't matter.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(entity).alias("_entity"), F.col(ts).cast("date").alias("_day"), F.coalesce(F.col(value), F.lit(0)).cast("bigint").alias("_value")).where("_entity is not null and _day is not null")
-    lone = F.when(F.col("_key").isNull(), F.monotonically_increasing_id())
-    once = rows.groupBy("_key", lone.alias("_lone")).agg(F.min(F.struct("_entity", "_day", "_value")).alias("_r")).select("_r.*")
-    return once.groupBy(F.col("_entity").alias("entity"), F.col("_day").alias("day")).agg(F.sum("_value").alias("day_total"), F.max("_value").alias("day_max"), F.min("_value").alias("day_min"))
+    once = rows.groupBy("_key", "_entity", "_day", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    times = F.when(F.col("_key").isNull(), F.col("_n")).otherwise(1)
+    return once.groupBy(F.col("_entity").alias("entity"), F.col("_day").alias("day")).agg(F.sum(F.col("_value") * times).alias("day_total"), F.max("_value").alias("day_max"), F.min("_value").alias("day_min"))
 
 
 def rolling_totals(df: DataFrame, key: str, entity: str, ts: str, value: str, periods: tuple[int, ...] = (7, 30), extremes: bool = False) -> DataFrame:

@@ -69,7 +69,7 @@ def _(spark, d):
 @query("join_either_key", f"with {PAGES}, {OCC}, r as (select id, page_id as a, case when id % 3 = 0 then page_id + 1 end as b from occ), m as (select r.id, p.id as page from r join pages p on p.id = r.a or p.id = r.b) select r.id, m.page as page_id from r left join m on m.id = r.id")
 def _(spark, d):
     r = occurrences(spark, d).select("id", F.col("page_id").alias("a"), F.when(F.col("id") % 3 == 0, F.col("page_id") + 1).alias("b"))
-    return either_key_join(r, pages(spark, d).select("id"), "a", "b", "id").select("id", F.col("r_id").alias("page_id"))
+    return either_key_join(r, pages(spark, d).select("id"), "id", "a", "b", "id").select("id", F.col("r_id").alias("page_id"))
 
 
 @query("join_null_tolerant", f"with {PAGES} select d.id, p.id as page_id from ingestion_documents d left join (select * from pages where page_number = 2) p on p.document_id = d.id where p.classification = 'editorial' or p.id is null")
