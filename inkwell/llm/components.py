@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.groups import smallest_label
-from inkwell.plans.runtime import cut
+from inkwell.plans.runtime import cut, skew_join
 
 
 def star_edges(features: DataFrame, item: str, feature: str) -> DataFrame:
     """(u, v): each item joined to the smallest item with the same feature. As many edges as features, however
-    many items share one, where all pairs would grow with the square."""
-    low = features.groupBy(feature).agg(F.min(item).alias("v"))
-    return features.join(low, feature).where(F.col(item) != F.col("v")).select(F.col(item).alias("u"), "v").distinct()
+    many items share one, where all pairs would grow with the square. A feature that any share of the items holds is spread over
+    many tasks. Null items and features link nothing."""
+    known = cut(features.select(item, feature).where(F.col(item).isNotNull() & F.col(feature).isNotNull()).distinct())
+    low = known.groupBy(feature).agg(F.min(item).alias("v"))
+    return skew_join(known, low, [feature], item).where(F.col(item) != F.col("v")).select(F.col(item).alias("u"), "v").distinct()
 
 
 def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
@@ -28,7 +30,7 @@ def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
     if top is None:
         return None, edges
     reached = cut(both.sparkSession.createDataFrame([(top[0],)], "vertex bigint"))
-    frontier = reached
+    frontier = F.broadcast(reached)  # one vertex, with the most edges of all
     for _ in range(rounds):
         frontier = cut(both.join(frontier.withColumnRenamed("vertex", "u"), "u", "left_semi").select(F.col("v").alias("vertex")).distinct().join(reached, "vertex", "left_anti"))
         if frontier.isEmpty():
