@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents per bucket: bounds the words and texts one task holds at a time, whatever the corpus.
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 2048
 
 
 def vocabulary_path() -> str:
@@ -75,6 +75,9 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     kind = dict(docs.dtypes)["doc_id"]
     buckets = max(1, math.ceil(docs.count() / bucket_docs))
     bucketed = docs.withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id"), F.length("text")), F.lit(buckets)).cast("bigint"))
+    # partitions follow the documents, so the largest task stays as it is when the corpus grows
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(buckets / 2))
+    bucketed = bucketed.repartition(parts, "bucket")
     wanted = bucketed.groupBy("bucket").applyInArrow(_distinct_words, "bucket bigint, word string")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
