@@ -20,7 +20,7 @@ KINDS = {
 #: Fields whose whole subtree matches nothing.
 SILENT = {"fax", "telefax", "social", "socials"}
 #: Ways of saying that nothing is known, compared without case, blanks and full stops.
-NOTHING = {"", "-", "--", "---", "–", "—", "?", "??", "???", "/", "x", "xxx", "n/a", "na", "none", "null", "nil", "nan", "unbekannt", "unknown", "keineangabe", "keineangaben", "ka", "k/a", "ohneangabe", "nichtbekannt", "nichtangegeben", "nichtvorhanden", "notknown", "notavailable", "notprovided", "tbd", "tba", "fehlt", "leer", "entfällt", "undefined", "siehewebsite", "*"}
+NOTHING = {"", "-", "--", "---", "–", "—", "?", "??", "???", "/", "n/a", "na", "none", "null", "nil", "nan", "unbekannt", "unknown", "keineangabe", "keineangaben", "ka", "k/a", "ohneangabe", "nichtbekannt", "nichtangegeben", "nichtvorhanden", "notknown", "notavailable", "notprovided", "tbd", "tba", "fehlt", "leer", "entfällt", "undefined", "siehewebsite", "*"}
 
 _EMAIL = re.compile(r"[^\s@:<>,;\"']+@[^\s@<>,;\"'?]+\.[a-zäöüß]{2,}")
 _HOST = re.compile(r"[\wäöüß-]+(\.[\wäöüß-]+)*\.[a-zäöüß]{2,}")

@@ -34,7 +34,7 @@ def sentences(text: str | None) -> list[str]:
 
 def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(feature indices, start of each sentence's features): hashed words and runs of GRAMS bytes. At least one sentence."""
-    raw = [b" " + s.lower().encode() + b"  " for s in parts]
+    raw = [b" " + s.lower().encode() + b"   " for s in parts]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
     b = np.frombuffer(b"".join(raw), np.uint8)
     digit = (b >= 48) & (b <= 57)
@@ -44,6 +44,8 @@ def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     gram = np.zeros(len(x), np.uint64)
     for k in range(GRAMS):
         gram[: len(x) - k] |= x[k:] << np.uint64(8 * k)
+    for k in range(1, GRAMS):  # none reaches into the next sentence
+        gram[starts[1:] - k] = 0
     gram = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
     # words: letters after a non-letter begin one; each letter adds its value times a factor of its place
     begins = np.nonzero(letter & ~np.concatenate([[False], letter[:-1]]))[0]
