@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rolling", "filters", "joining", "grouping", "scalars", "flows")
+MODULES = ("rolling", "filters", "joining", "grouping", "scalars", "flows", "contacts")
 
 
 def merge(*parts: dict) -> dict:
