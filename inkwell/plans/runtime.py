@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -14,20 +15,24 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the executors, once per application, so that they need no copy of it. Spark's own file server sends the archive;
-    only the driver reads the place it is built in."""
+    """Hand this package to the executors, once per application, through the shared folder, so that they need no copy of it."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="inkwell-package-"), "inkwell.zip")
-    with zipfile.ZipFile(archive, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, files in sorted(os.walk(root)):
             for f in sorted(files):
                 if f.endswith(".py"):
                     z.write(os.path.join(folder, f), os.path.join("inkwell", os.path.relpath(os.path.join(folder, f), root)))
-    spark.sparkContext.addPyFile(archive)
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/inkwell.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
