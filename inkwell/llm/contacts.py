@@ -154,6 +154,7 @@ def company_claims(companies: DataFrame) -> DataFrame:
             frame["at"] = frame["at"].astype("Int64")
             yield frame
 
-    micros = F.unix_micros(F.col("canonical_updated_at").cast("timestamp"))
+    # whatever the session's time zone: times without zone are UTC
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(canonical_updated_at as timestamp_ntz))")
     rows = companies.where("id is not null").select(F.col("id").alias("company_id"), F.col("data_source").alias("source"), F.col("canonical_fields_json").alias("json"), F.col("secondary_findings_json").alias("findings"), micros.alias("at"))
     return rows.mapInPandas(read, "company_id bigint, field_name string, field_value string, source string, at bigint, position int")
