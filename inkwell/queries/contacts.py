@@ -48,7 +48,7 @@ def _(spark, d):
 
 @query("channel_dedupe", f"with {COMP}, k as (select id, unnest(string_split(contact_key, '|')) as part from comp where contact_key is not null), v as (select id, split_part(part, '=', 1) as kind, unnest(string_split(split_part(part, '=', 2), ',')) as v from k where contains(part, '=')), n as (select id, case kind when 'phone' then 'digits:' || regexp_replace(v, '[^0-9]', '', 'g') when 'email' then 'email:' || v else 'address:' || regexp_replace(v, '^www\\.', '') end as key from v) select key, min(id) as first_id, count(distinct id) as companies from n group by key")
 def _(spark, d):
-    k = companies(spark, d).where("contact_key is not null").select("id", F.explode(F.split("contact_key", r"\|")).alias("part")).where("contains(part, '=')")
+    k = companies(spark, d, "contact_key").where("contact_key is not null").select("id", F.explode(F.split("contact_key", r"\|")).alias("part")).where("contains(part, '=')")
     v = k.select("id", F.substring_index("part", "=", 1).alias("kind"), F.explode(F.split(F.substring_index("part", "=", -1), ",")).alias("v"))
     n = v.select("id", C.normal_key(F.col("kind"), F.col("v")).alias("key")).distinct()
     return n.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("companies"))
@@ -84,7 +84,7 @@ _PLACE = "(?:Sankt |Bad )?[A-ZÄÖÜ][a-zäöüß]*altach[a-zäöüß]*"
 
 @query("text_region_counts", f"with {PAGES}, m as (select document_id, unnest(regexp_extract_all(text, '({_PLACE})')) as place from pages where text is not null), g as (select document_id, place, count(*) as n from m group by 1, 2), b as (select document_id, arg_max(place, (n, place)) as place, max(n) as n from g group by 1) select document_id, place, n as mentions, case when n > 1 then 0.78 else 0.52 end as confidence from b")
 def _(spark, d):
-    m = pages(spark, d).where("text is not null").select("document_id", F.explode(F.regexp_extract_all("text", F.lit(f"({_PLACE})"), F.lit(1))).alias("place"))
+    m = pages(spark, d, "document_id", "text").where("text is not null").select("document_id", F.explode(F.regexp_extract_all("text", F.lit(f"({_PLACE})"), F.lit(1))).alias("place"))
     g = m.groupBy("document_id", "place").agg(F.count(F.lit(1)).alias("n"))
     b = g.groupBy("document_id").agg(F.max_by("place", F.struct("n", "place")).alias("place"), F.max("n").alias("mentions"))
     return b.withColumn("confidence", F.when(F.col("mentions") > 1, 0.78).otherwise(0.52).cast("double"))
@@ -92,7 +92,7 @@ def _(spark, d):
 
 @query("text_region_source", f"with {PAGES}, f as (select document_id, arg_min(text, id) as t from pages where page_number = 1 and text is not null group by 1), x as (select d.id, nullif(regexp_extract(d.filename, '({_PLACE})', 1), '') as a, nullif(regexp_extract(f.t, '({_PLACE})', 1), '') as b from ingestion_documents d left join f on f.document_id = d.id) select id, coalesce(a, b) as place, case when a is not null then 'filename' when b is not null then 'title-page' end as source, a is not null and b is not null and a = b as agree from x")
 def _(spark, d):
-    first = pages(spark, d).where("page_number = 1 and text is not null").groupBy("document_id").agg(F.min_by("text", "id").alias("t"))
+    first = pages(spark, d, "document_id", "page_number", "text").where("page_number = 1 and text is not null").groupBy("document_id").agg(F.min_by("text", "id").alias("t"))
     place = lambda c: F.nullif(F.regexp_extract(c, f"({_PLACE})", 1), F.lit(""))
     x = documents(spark, d).select("id", "filename").join(first, F.col("id") == F.col("document_id"), "left").select("id", place("filename").alias("a"), place("t").alias("b"))
     return x.select("id", F.coalesce("a", "b").alias("place"), F.when(F.col("a").isNotNull(), "filename").when(F.col("b").isNotNull(), "title-page").alias("source"), F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("agree"))
@@ -102,12 +102,12 @@ def _(spark, d):
 def _(spark, d):
     ladder = [(F.nullif(F.col("company"), F.lit("Unbekannte Firma")), "vision"), (F.nullif(F.trim(F.split("preview", "\n")[0]), F.lit("")), "text_layer"), (F.lit("unknown"), "default")]
     first = F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("company"), F.lit(s).alias("source"))) for v, s in ladder])
-    return occurrences(spark, d).select("id", first.alias("f")).select("id", "f.company", "f.source")
+    return occurrences(spark, d, "company", "preview").select("id", first.alias("f")).select("id", "f.company", "f.source")
 
 
 @query("json_leaves", f"with recursive {COMP}, r(id, field, v, depth) as (select id, '', try_cast(canonical_fields_json as json), 0 from comp where try_cast(canonical_fields_json as json) is not null union all select r.id, coalesce(lower(k.key), r.field), k.value, r.depth + 1 from r, (select unnest(json_keys(r.v)) as key, json_extract(r.v, '$.\"' || unnest(json_keys(r.v)) || '\"') as value where json_type(r.v) = 'OBJECT' union all select null, unnest(cast(r.v as json[])) where json_type(r.v) = 'ARRAY') k where json_type(r.v) in ('OBJECT', 'ARRAY') and r.depth < 5) select field, count(*) as n from r where json_type(v) not in ('OBJECT', 'ARRAY', 'NULL') group by field")
 def _(spark, d):
-    return C.leaves(companies(spark, d).where("canonical_fields_json is not null"), "id", "canonical_fields_json").groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    return C.leaves(companies(spark, d, "canonical_fields_json").where("canonical_fields_json is not null"), "id", "canonical_fields_json").groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("math_affine", "with m as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity as a, l_discount as b, l_tax as c, l_quantity / 2 as d, 10.0 as e, 20.0 as f from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least(e, a + e, c + e, a + c + e), 6) as left_edge, round(greatest(f, b + f, d + f, b + d + f), 6) as top_edge from m")
@@ -126,7 +126,7 @@ def _(spark, d):
 
 @query("flow_compare_report", f"with {PAGES}, o as (select distinct id, page_id, preview from ingestion_occurrences where preview is not null), w as (select o.id, list_distinct(regexp_extract_all(lower(o.preview), '([a-z0-9äöüß]+)')) as a, list_distinct(regexp_extract_all(lower(coalesce(p.text, '')), '([a-z0-9äöüß]+)')) as b from o left join pages p on p.id = o.page_id), c as (select id, len(list_filter(a, lambda x: not list_contains(b, x))) as missing, len(a) as n from w) select id, cast(missing as integer) as missing, case when missing = 0 then 'bestanden' when missing * 2 < n then 'unsicher' else 'abweichung' end as verdict from c")
 def _(spark, d):
-    p = pages(spark, d).select(F.col("id").alias("page_id"), "text")
+    p = pages(spark, d, "text").select(F.col("id").alias("page_id"), "text")
     o = table(spark, d, "ingestion_occurrences").where("preview is not null").select("id", "page_id", "preview").distinct().join(p, "page_id", "left")
     a, b = F.array_distinct(T.words(F.col("preview"))), T.words(F.coalesce("text", F.lit("")))
     c = o.select("id", F.size(F.array_except(a, b)).alias("missing"), F.size(a).alias("n"))

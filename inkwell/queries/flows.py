@@ -37,12 +37,12 @@ def source_rank():
 @query("flow_company_precedence", f"with {COMP} select normalized_name, arg_max(id, ({_RANK}, case when contact_key like '%=%' then 1 else 0 end, -id)) as winner_id, count(*) as rows_merged, count(distinct data_source) as sources from comp where normalized_name <> '' group by normalized_name")
 def _(spark, d):
     order = F.struct(source_rank(), F.when(F.col("contact_key").contains("="), 1).otherwise(0), -F.col("id"))
-    return companies(spark, d).where("normalized_name <> ''").groupBy("normalized_name").agg(F.max_by("id", order).alias("winner_id"), F.count(F.lit(1)).alias("rows_merged"), F.count_distinct("data_source").alias("sources"))
+    return companies(spark, d, "normalized_name", "contact_key", "data_source").where("normalized_name <> ''").groupBy("normalized_name").agg(F.max_by("id", order).alias("winner_id"), F.count(F.lit(1)).alias("rows_merged"), F.count_distinct("data_source").alias("sources"))
 
 
 @query("flow_company_repair", f"with recursive {COMP}, k as (select id, unnest(string_split(contact_key, '|')) as part from comp where contact_key is not null), f as (select id, split_part(part, '=', 1) || '=' || unnest(string_split(split_part(part, '=', 2), ',')) as v from k where contains(part, '=')), e as (select distinct a.id as u, b.id as v from f a join f b on a.v = b.v and a.id <> b.id), r as (select u as vertex, v as label from e union select r.vertex, e.v from r join e on e.u = r.label) select vertex as company_id, least(vertex, min(label)) as group_id from r group by vertex")
 def _(spark, d):
-    k = companies(spark, d).where("contact_key is not null").select("id", F.explode(F.split("contact_key", r"\|")).alias("part")).where("contains(part, '=')")
+    k = companies(spark, d, "contact_key").where("contact_key is not null").select("id", F.explode(F.split("contact_key", r"\|")).alias("part")).where("contains(part, '=')")
     f = k.select("id", F.explode(F.transform(F.split(F.substring_index("part", "=", -1), ","), lambda v: F.concat(F.substring_index("part", "=", 1), F.lit("="), v))).alias("v")).distinct()
     star = f.groupBy("v").agg(F.min("id").alias("low"))
     edges = f.join(star, "v").where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
@@ -51,14 +51,14 @@ def _(spark, d):
 
 @query("flow_keyed_merge", f"with {COMP} select contact_key, arg_max(id, ({_RANK}, id % 2, -id)) as id from comp where contact_key is not null group by contact_key")
 def _(spark, d):
-    c = companies(spark, d).where("contact_key is not null").select("contact_key", "id", "data_source")
+    c = companies(spark, d, "contact_key", "data_source").where("contact_key is not null").select("contact_key", "id", "data_source")
     merged = merge_by_key(c.where("id % 2 = 0"), c.where("id % 2 = 1"), "contact_key", [source_rank(), F.col("is_new"), -F.col("id")])
     return merged.select("contact_key", "id")
 
 
 @query("flow_import_key", f"with {OCC} select count(distinct sha256(coalesce(company, '') || chr(31) || coalesce(preview, ''))) as records, count(*) as rows_read from occ")
 def _(spark, d):
-    o = occurrences(spark, d).select(F.coalesce("company", F.lit("")).alias("company"), F.coalesce("preview", F.lit("")).alias("preview")).withColumn("key", import_key("company", "preview"))
+    o = occurrences(spark, d, "company", "preview").select(F.coalesce("company", F.lit("")).alias("company"), F.coalesce("preview", F.lit("")).alias("preview")).withColumn("key", import_key("company", "preview"))
     return o.agg(F.count_distinct("key").alias("records"), F.count(F.lit(1)).alias("rows_read"))
 
 
@@ -71,13 +71,13 @@ def _(spark, d):
 
 @query("flow_page_report", f"with {PAGES}, {OCC}, a as (select page_id, count(*) as ads, max(confidence) as best from occ group by page_id) select p.document_id, count(*) as pages, cast(coalesce(sum(a.ads), 0) as bigint) as ads, count(*) filter (where a.ads is null) as pages_without, max(a.best) as best from pages p left join a on a.page_id = p.id group by p.document_id")
 def _(spark, d):
-    a = occurrences(spark, d).groupBy("page_id").agg(F.count(F.lit(1)).alias("ads"), F.max("confidence").alias("best"))
-    return pages(spark, d).select(F.col("id").alias("page_id"), "document_id").join(a, "page_id", "left").groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("ads"), F.lit(0)).alias("ads"), F.count_if(F.col("ads").isNull()).alias("pages_without"), F.max("best").alias("best"))
+    a = occurrences(spark, d, "document_id", "page_id", "confidence").groupBy("page_id").agg(F.count(F.lit(1)).alias("ads"), F.max("confidence").alias("best"))
+    return pages(spark, d, "document_id").select(F.col("id").alias("page_id"), "document_id").join(a, "page_id", "left").groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("ads"), F.lit(0)).alias("ads"), F.count_if(F.col("ads").isNull()).alias("pages_without"), F.max("best").alias("best"))
 
 
 @query("flow_alignment", f"with {OCC}, x as (select id, page_id, company, cast(json_extract_string(bbox, '$.x') as double) as x from occ where bbox is not null), g as (select *, case when x - lag(x) over (partition by page_id order by x, id) <= 0.08 then 0 else 1 end as fresh from x where x is not null), s as (select *, sum(fresh) over (partition by page_id order by x, id rows unbounded preceding) as c from g), k as (select page_id, c, count(distinct company) as texts, cast(sum(cast(round(x * 1000) as bigint)) // count(*) as bigint) as edge from s group by 1, 2) select page_id, arg_max(edge, (texts, -c)) as edge, max(texts) as texts from k where texts >= 2 group by page_id")
 def _(spark, d):
-    own = occurrences(spark, d).where("bbox is not null").select("id", "page_id", "company", F.get_json_object("bbox", "$.x").cast("double").alias("x")).where("x is not null")
+    own = occurrences(spark, d, "page_id", "company", "bbox").where("bbox is not null").select("id", "page_id", "company", F.get_json_object("bbox", "$.x").cast("double").alias("x")).where("x is not null")
     w = Window.partitionBy("page_id").orderBy("x", "id")
     s = segments(own, ["page_id"], ["x", "id"], F.col("x") - F.lag("x").over(w) > 0.08)
     k = s.groupBy("page_id", "segment").agg(F.count_distinct("company").alias("texts"), F.floor(F.sum(F.round(F.col("x") * 1000).cast("bigint")) / F.count(F.lit(1))).alias("edge")).where("texts >= 2")
@@ -110,13 +110,13 @@ def _(spark, d):
 @query("python_read_answers")
 def _(spark, d):
     """Company JSON, whole, cut off or in Python's notation, through the tolerant reader."""
-    return companies(spark, d).select("id", answer_json("canonical_fields_json").alias("value"))
+    return companies(spark, d, "canonical_fields_json").select("id", answer_json("canonical_fields_json").alias("value"))
 
 
 @query("python_similarity")
 def _(spark, d):
     """Likeness of names as typed and as normalised, word by word."""
-    return companies(spark, d).select("id", F.round(similarity(F.lower("name"), "normalized_name"), 6).alias("likeness"))
+    return companies(spark, d, "name", "normalized_name").select("id", F.round(similarity(F.lower("name"), "normalized_name"), 6).alias("likeness"))
 
 
 @query("stream_once", "select event_type, count(*) as events, count(distinct event_id) as ids from events group by event_type")

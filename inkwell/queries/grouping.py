@@ -67,28 +67,28 @@ def _(spark, d):
 
 @query("agg_per_document", f"with {OCC} select d.id, count(o.id) as ads from ingestion_documents d left join occ o on o.document_id = d.id group by d.id")
 def _(spark, d):
-    n = occurrences(spark, d).groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    n = occurrences(spark, d, "document_id").groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return documents(spark, d).select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("ads"))
 
 
 @query("agg_distinct_and_list", f"with {OCC} select document_id, count(distinct page_id) as pages, array_to_string(list_sort(list_distinct(list(page_id))), ',') as page_ids from occ group by document_id")
 def _(spark, d):
-    o = occurrences(spark, d).select("document_id", "page_id").distinct()
+    o = occurrences(spark, d, "document_id", "page_id").select("document_id", "page_id").distinct()
     return o.groupBy("document_id").agg(F.count("page_id").alias("pages"), F.array_join(F.array_sort(F.collect_set("page_id")), ",").alias("page_ids"))
 
 
 @query("agg_mode_with_tie", f"with {OCC}, g as (select document_id, coalesce(status, '') as status, count(*) as n, max(coalesce(confidence, 0)) as c from occ group by 1, 2) select document_id, arg_max(status, (n, c, status)) as status, max(n) as votes from g group by document_id")
 def _(spark, d):
-    g = occurrences(spark, d).groupBy("document_id", F.coalesce("status", F.lit("")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"))
+    g = occurrences(spark, d, "document_id", "status", "confidence").groupBy("document_id", F.coalesce("status", F.lit("")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"))
     return g.groupBy("document_id").agg(F.max_by("status", F.struct("n", "c", "status")).alias("status"), F.max("n").alias("votes"))
 
 
-@query("agg_consensus_box", f"with {OCC}, b as (select document_id, cast(json_extract_string(bbox, '$.x') as double) as x, cast(json_extract_string(bbox, '$.y') as double) as y, confidence as c, id % 5 as run from occ where bbox is not null), g as (select document_id, avg(x) as x, avg(y) as y, count(distinct run) / 5.0 as f, avg(c) as c from b where x is not null and y is not null and c is not null group by document_id) select document_id, cast(floor(x * 1000 + 0.5) as bigint) as left_px, cast(floor(y * 1000 + 0.5) as bigint) as top_px, round((1 - 1.0 / 6) * f + (1.0 / 6) * c, 6) as confidence from g where f > 0.5")
+@query("agg_consensus_box", f"with {OCC}, b as (select document_id, cast(json_extract_string(bbox, '$.x') as double) as x, cast(json_extract_string(bbox, '$.y') as double) as y, confidence as c, id % 5 as run from occ where bbox is not null), g as (select document_id, sum(cast(round(x * 1000) as bigint)) as x, sum(cast(round(y * 1000) as bigint)) as y, count(*) as n, count(distinct run) / 5.0 as f, avg(c) as c from b where x is not null and y is not null and c is not null group by document_id) select document_id, cast((2 * x + n) // (2 * n) as bigint) as left_px, cast((2 * y + n) // (2 * n) as bigint) as top_px, round((1 - 1.0 / 6) * f + (1.0 / 6) * c, 6) as confidence from g where f > 0.5")
 def _(spark, d):
     get = lambda k: F.get_json_object("bbox", f"$.{k}").cast("double")
-    b = occurrences(spark, d).where("bbox is not null").select("document_id", get("x").alias("x"), get("y").alias("y"), F.col("confidence").alias("c"), (F.col("id") % 5).alias("run")).dropna()
-    g = b.groupBy("document_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), (F.count_distinct("run") / 5.0).alias("f"), F.avg("c").alias("c"))
-    pixel = lambda c: F.floor(F.col(c) * 1000 + 0.5)
+    b = occurrences(spark, d, "document_id", "bbox", "confidence").where("bbox is not null").select("document_id", get("x").alias("x"), get("y").alias("y"), F.col("confidence").alias("c"), (F.col("id") % 5).alias("run")).dropna()
+    g = b.groupBy("document_id").agg(F.sum(F.round(F.col("x") * 1000).cast("bigint")).alias("x"), F.sum(F.round(F.col("y") * 1000).cast("bigint")).alias("y"), F.count(F.lit(1)).alias("n"), (F.count_distinct("run") / 5.0).alias("f"), F.avg("c").alias("c"))
+    pixel = lambda c: F.floor((2 * F.col(c) + F.col("n")) / (2 * F.col("n")))  # whole thousandths, halves up
     return g.where("f > 0.5").select("document_id", pixel("x").alias("left_px"), pixel("y").alias("top_px"), F.round((1 - 1 / 6) * F.col("f") + (1 / 6) * F.col("c"), 6).alias("confidence"))
 
 
@@ -97,7 +97,7 @@ _TOWN = "regexp_extract_all(text, '(Altach[a-zäöüß]+)')"
 
 @query("agg_place_mentions", f"with {PAGES}, m as (select document_id, unnest({_TOWN}) as place from pages where text is not null), g as (select document_id, place, count(*) as n from m group by 1, 2) select document_id, place, n as mentions from g qualify row_number() over (partition by document_id order by n desc, place) <= 3")
 def _(spark, d):
-    m = pages(spark, d).where("text is not null").select("document_id", F.explode(F.regexp_extract_all("text", F.lit("(Altach[a-zäöüß]+)"), F.lit(1))).alias("place"))
+    m = pages(spark, d, "document_id", "text").where("text is not null").select("document_id", F.explode(F.regexp_extract_all("text", F.lit("(Altach[a-zäöüß]+)"), F.lit(1))).alias("place"))
     w = Window.partitionBy("document_id").orderBy(F.desc("mentions"), "place")
     return m.groupBy("document_id", "place").agg(F.count(F.lit(1)).alias("mentions")).withColumn("n", F.row_number().over(w)).where("n <= 3").drop("n")
 
@@ -134,20 +134,20 @@ def _(spark, d):
 @query("agg_max_severity", f"with {OCC}, s as (select document_id, case when confidence < 0.4 then 2 when confidence < 0.6 or confidence is null then 1 else 0 end as r from occ) select document_id, case max(r) when 2 then 'abweichung' when 1 then 'unsicher' else 'bestanden' end as verdict from s group by document_id")
 def _(spark, d):
     r = F.when(F.col("confidence") < 0.4, 2).when((F.col("confidence") < 0.6) | F.col("confidence").isNull(), 1).otherwise(0)
-    return occurrences(spark, d).groupBy("document_id").agg(F.element_at(F.array(F.lit("bestanden"), F.lit("unsicher"), F.lit("abweichung")), F.max(r) + 1).alias("verdict"))
+    return occurrences(spark, d, "document_id", "confidence").groupBy("document_id").agg(F.element_at(F.array(F.lit("bestanden"), F.lit("unsicher"), F.lit("abweichung")), F.max(r) + 1).alias("verdict"))
 
 
 @query("agg_reason_list", f"with {OCC}, r as (select document_id, id, unnest(list_filter([case when bbox is null then 'no box' end, case when confidence < 0.5 then 'low confidence' end, case when image_key is null then 'no image' end], lambda x: x is not null)) as reason from occ), f as (select document_id, reason, min(id) as first_id from r group by 1, 2) select document_id, string_agg(reason, '; ' order by first_id, reason) as reasons from f group by document_id")
 def _(spark, d):
     reasons = F.array_compact(F.array(F.when(F.col("bbox").isNull(), "no box"), F.when(F.col("confidence") < 0.5, "low confidence"), F.when(F.col("image_key").isNull(), "no image")))
-    first = occurrences(spark, d).select("document_id", "id", F.explode(reasons).alias("reason")).groupBy("document_id", "reason").agg(F.min("id").alias("first_id"))
+    first = occurrences(spark, d, "document_id", "bbox", "image_key", "confidence").select("document_id", "id", F.explode(reasons).alias("reason")).groupBy("document_id", "reason").agg(F.min("id").alias("first_id"))
     return first.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "reason"))), lambda x: x["reason"]), "; ").alias("reasons"))
 
 
 @query("agg_first_n_extent", f"with {OCC}, x as (select id, page_id, cast(json_extract_string(bbox, '$.x') as double) as x, cast(json_extract_string(bbox, '$.width') as double) as w from occ where bbox is not null), r as (select *, row_number() over (partition by page_id order by id) as n from x where x is not null and w is not null) select page_id, min(x) as left_edge, max(x + w) as right_edge from r where n <= 3 group by page_id")
 def _(spark, d):
     get = lambda k: F.get_json_object("bbox", f"$.{k}").cast("double")
-    x = occurrences(spark, d).where("bbox is not null").select("id", "page_id", get("x").alias("x"), get("width").alias("w")).dropna()
+    x = occurrences(spark, d, "page_id", "bbox").where("bbox is not null").select("id", "page_id", get("x").alias("x"), get("width").alias("w")).dropna()
     w = Window.partitionBy("page_id").orderBy("id")
     return x.withColumn("n", F.row_number().over(w)).where("n <= 3").groupBy("page_id").agg(F.min("x").alias("left_edge"), F.max(F.col("x") + F.col("w")).alias("right_edge"))
 
@@ -212,19 +212,19 @@ def _(spark, d):
 @query("window_keep_latest_n", f"with {OCC} select company, id from occ where company is not null qualify row_number() over (partition by company order by created_at desc, id desc) <= 20")
 def _(spark, d):
     w = Window.partitionBy("company").orderBy(F.desc("created_at"), F.desc("id"))
-    return occurrences(spark, d).where("company is not null").select("company", "id", "created_at").withColumn("n", F.row_number().over(w)).where("n <= 20").select("company", "id")
+    return occurrences(spark, d, "company", "created_at").where("company is not null").select("company", "id", "created_at").withColumn("n", F.row_number().over(w)).where("n <= 20").select("company", "id")
 
 
 @query("window_next", f"with {OCC} select id, lead(id) over (partition by document_id order by id) as next_id from occ where status = 'detected'")
 def _(spark, d):
     w = Window.partitionBy("document_id").orderBy("id")
-    return occurrences(spark, d).where("status = 'detected'").select("id", F.lead("id").over(w).alias("next_id"))
+    return occurrences(spark, d, "document_id", "status").where("status = 'detected'").select("id", F.lead("id").over(w).alias("next_id"))
 
 
 @query("window_greedy_suppression")
 def _(spark, d):
     """Boxes of a page that survive greedy suppression in order of confidence; SQL would need recursion per page."""
-    b = boxed(spark, d).join(occurrences(spark, d).select("id", "confidence"), "id")
+    b = boxed(spark, d).join(occurrences(spark, d, "page_id", "confidence").select("id", "confidence"), "id")
     made = box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"))
     item = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("order"), "id", *[made[k].alias(k) for k in ("left", "top", "right", "bottom")])
     pages_ = b.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("boxes"))  # the adverts of one page
@@ -241,7 +241,7 @@ def _(spark, d):
 
 @query("window_row_clusters", f"with {OCC}, x as (select id, page_id, cast(json_extract_string(bbox, '$.y') as double) as y from occ where bbox is not null), g as (select *, case when y - lag(y) over (partition by page_id order by y, id) <= 0.05 then 0 else 1 end as fresh from x where y is not null), s as (select id, page_id, sum(fresh) over (partition by page_id order by y, id rows unbounded preceding) as r from g) select page_id, id, cast(r as bigint) as row_number from s")
 def _(spark, d):
-    x = occurrences(spark, d).where("bbox is not null").select("id", "page_id", F.get_json_object("bbox", "$.y").cast("double").alias("y")).dropna()
+    x = occurrences(spark, d, "page_id", "bbox").where("bbox is not null").select("id", "page_id", F.get_json_object("bbox", "$.y").cast("double").alias("y")).dropna()
     w = Window.partitionBy("page_id").orderBy("y", "id")
     return segments(x, ["page_id"], ["y", "id"], F.col("y") - F.lag("y").over(w) > 0.05).select("page_id", "id", F.col("segment").alias("row_number"))
 

@@ -27,14 +27,17 @@ def documents(spark, d):
     return table(spark, d, "ingestion_documents")
 
 
-def pages(spark, d):
-    return table(spark, d, "ingestion_pages").select("id", "document_id", "page_number", "text", "classification", "ad_probability").distinct()
+def pages(spark, d, *columns):
+    """One row per page; repeated rows are equal, so only the columns asked for are read and compared."""
+    return table(spark, d, "ingestion_pages").select("id", *columns).distinct()
 
 
-def occurrences(spark, d):
-    """One row per id: the latest by created_at, status as tie break."""
+def occurrences(spark, d, *columns):
+    """One row per id with the columns asked for: the latest by created_at, status as tie break."""
     o = table(spark, d, "ingestion_occurrences")
-    newest = F.max_by(F.struct(*[c for c in o.columns if c != "id"]), F.struct("created_at", F.coalesce("status", F.lit(""))))
+    if not columns:
+        return o.select("id").distinct()
+    newest = F.max_by(F.struct(*columns), F.struct("created_at", F.coalesce("status", F.lit(""))))
     return o.groupBy("id").agg(newest.alias("o")).select("id", "o.*")
 
 
@@ -44,55 +47,55 @@ OCC = "occ as (select * from ingestion_occurrences qualify row_number() over (pa
 
 @query("join_chain", f"with {PAGES}, {OCC} select o.id as occurrence_id, p.page_number, d.filename from occ o join pages p on p.id = o.page_id join ingestion_documents d on d.id = p.document_id")
 def _(spark, d):
-    o, p = occurrences(spark, d), pages(spark, d)
+    o, p = occurrences(spark, d, "document_id", "page_id"), pages(spark, d, "document_id", "page_number")
     return o.select(F.col("id").alias("occurrence_id"), "page_id").join(p.select(F.col("id").alias("page_id"), "document_id", "page_number"), "page_id").join(documents(spark, d).select(F.col("id").alias("document_id"), "filename"), "document_id").select("occurrence_id", "page_number", "filename")
 
 
 @query("join_left_counts", f"with {PAGES} select d.id, d.tenant_id, count(p.id) as pages from ingestion_documents d left join pages p on p.document_id = d.id group by d.id, d.tenant_id")
 def _(spark, d):
-    n = pages(spark, d).groupBy("document_id").agg(F.count("id").alias("pages"))  # folded before it is joined
+    n = pages(spark, d, "document_id").groupBy("document_id").agg(F.count("id").alias("pages"))  # folded before it is joined
     return documents(spark, d).select("id", "tenant_id").join(n, F.col("id") == F.col("document_id"), "left").select("id", "tenant_id", F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
 @query("join_left", f"with {PAGES}, {OCC} select o.id, o.status, p.page_number from occ o left join pages p on p.id = o.page_id and p.page_number <= 2")
 def _(spark, d):
-    p = pages(spark, d).where("page_number <= 2").select(F.col("id").alias("page_id"), "page_number")
-    return occurrences(spark, d).select("id", "status", "page_id").join(p, "page_id", "left").select("id", "status", "page_number")
+    p = pages(spark, d, "page_number").where("page_number <= 2").select(F.col("id").alias("page_id"), "page_number")
+    return occurrences(spark, d, "page_id", "status").select("id", "status", "page_id").join(p, "page_id", "left").select("id", "status", "page_number")
 
 
 @query("join_left_composite", f"with {OCC} select distinct o.tenant_id, o.document_id, d.state from occ o left join ingestion_documents d on d.tenant_id = o.tenant_id and d.id = o.document_id and d.state <> 'processed'")
 def _(spark, d):
     s = documents(spark, d).where("state <> 'processed'").select("tenant_id", F.col("id").alias("document_id"), "state")
-    return occurrences(spark, d).select("tenant_id", "document_id").distinct().join(s, ["tenant_id", "document_id"], "left")
+    return occurrences(spark, d, "tenant_id", "document_id").select("tenant_id", "document_id").distinct().join(s, ["tenant_id", "document_id"], "left")
 
 
 @query("join_either_key", f"with {PAGES}, {OCC}, r as (select id, page_id as a, case when id % 3 = 0 then page_id + 1 end as b from occ), m as (select r.id, p.id as page from r join pages p on p.id = r.a or p.id = r.b) select r.id, m.page as page_id from r left join m on m.id = r.id")
 def _(spark, d):
-    r = occurrences(spark, d).select("id", F.col("page_id").alias("a"), F.when(F.col("id") % 3 == 0, F.col("page_id") + 1).alias("b"))
+    r = occurrences(spark, d, "page_id").select("id", F.col("page_id").alias("a"), F.when(F.col("id") % 3 == 0, F.col("page_id") + 1).alias("b"))
     return either_key_join(r, pages(spark, d).select("id"), "id", "a", "b", "id").select("id", F.col("r_id").alias("page_id"))
 
 
 @query("join_null_tolerant", f"with {PAGES} select d.id, p.id as page_id from ingestion_documents d left join (select * from pages where page_number = 2) p on p.document_id = d.id where p.classification = 'editorial' or p.id is null")
 def _(spark, d):
-    p = pages(spark, d).where("page_number = 2").select(F.col("id").alias("page_id"), "document_id", "classification")
+    p = pages(spark, d, "document_id", "page_number", "classification").where("page_number = 2").select(F.col("id").alias("page_id"), "document_id", "classification")
     return documents(spark, d).select("id").join(p, F.col("id") == F.col("document_id"), "left").where((F.col("classification") == "editorial") | F.col("page_id").isNull()).select("id", "page_id")
 
 
 @query("join_anti", f"with {OCC} select d.id from ingestion_documents d where not exists (select 1 from occ o where o.document_id = d.id)")
 def _(spark, d):
-    used = occurrences(spark, d).select(F.col("document_id").alias("id"))
+    used = occurrences(spark, d, "document_id").select(F.col("document_id").alias("id"))
     return documents(spark, d).select("id").join(used, "id", "left_anti")
 
 
 @query("join_semi", f"with {OCC} select d.id, d.filename from ingestion_documents d where d.id in (select document_id from occ where status = 'approved')")
 def _(spark, d):
-    used = occurrences(spark, d).where("status = 'approved'").select(F.col("document_id").alias("id"))
+    used = occurrences(spark, d, "document_id", "status").where("status = 'approved'").select(F.col("document_id").alias("id"))
     return documents(spark, d).select("id", "filename").join(used, "id", "left_semi")
 
 
 @query("join_aggregate_update", f"with {OCC}, n as (select document_id, count(*) as n, max(page_id) as last_page from occ group by document_id) select d.id, coalesce(n.n, 0) as occurrences, coalesce(n.last_page, -1) as last_page from ingestion_documents d left join n on n.document_id = d.id")
 def _(spark, d):
-    n = occurrences(spark, d).groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last_page"))
+    n = occurrences(spark, d, "document_id", "page_id").groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last_page"))
     return documents(spark, d).select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("occurrences"), F.coalesce("last_page", F.lit(-1)).alias("last_page"))
 
 
@@ -116,7 +119,7 @@ _B = "boxed as (select id, page_id, cast(json_extract_string(bbox, '$.x') as dou
 
 def boxed(spark, d):
     get = lambda k: F.get_json_object("bbox", f"$.{k}").cast("double")
-    return occurrences(spark, d).where("bbox is not null").select("id", "page_id", get("x").alias("x"), get("y").alias("y"), get("width").alias("w"), get("height").alias("h")).dropna()
+    return occurrences(spark, d, "page_id", "bbox").where("bbox is not null").select("id", "page_id", get("x").alias("x"), get("y").alias("y"), get("width").alias("w"), get("height").alias("h")).dropna()
 
 
 @query("join_spatial_owner", f"with {OCC}, {_B} select a.id, arg_min(o.id, (o.w * o.h, o.id)) as owner_id from b a join b o on o.page_id = a.page_id and o.id <> a.id and a.x + a.w / 2 between o.x and o.x + o.w and a.y + a.h / 2 between o.y and o.y + o.h group by a.id")
@@ -171,7 +174,7 @@ def _(spark, d):
 
 @query("sort_score", f"with {PAGES} select id, ad_probability from pages order by ad_probability desc nulls last, id limit 500")
 def _(spark, d):
-    return pages(spark, d).select("id", "ad_probability").orderBy(F.desc_nulls_last("ad_probability"), "id").limit(500)
+    return pages(spark, d, "ad_probability").select("id", "ad_probability").orderBy(F.desc_nulls_last("ad_probability"), "id").limit(500)
 
 
 @query("sort_keyset_page", "select id, filename from ingestion_documents where id > 40 order by id limit 25")
@@ -182,13 +185,13 @@ def _(spark, d):
 @query("topk_per_group", f"with {OCC} select page_id, id, confidence from occ where confidence is not null qualify row_number() over (partition by page_id order by confidence desc, id) <= 2")
 def _(spark, d):
     w = Window.partitionBy("page_id").orderBy(F.desc("confidence"), "id")
-    return occurrences(spark, d).where("confidence is not null").select("page_id", "id", "confidence").withColumn("n", F.row_number().over(w)).where("n <= 2").drop("n")
+    return occurrences(spark, d, "page_id", "confidence").where("confidence is not null").select("page_id", "id", "confidence").withColumn("n", F.row_number().over(w)).where("n <= 2").drop("n")
 
 
 @query("topk_best_variant", f"with {OCC} select document_id, arg_max(id, (coalesce(confidence, 0), -id)) as best_id, count(*) as variants from occ group by document_id")
 def _(spark, d):
     score = F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("id"))
-    return occurrences(spark, d).groupBy("document_id").agg(F.max_by("id", score).alias("best_id"), F.count(F.lit(1)).alias("variants"))
+    return occurrences(spark, d, "document_id", "confidence").groupBy("document_id").agg(F.max_by("id", score).alias("best_id"), F.count(F.lit(1)).alias("variants"))
 
 
 @query("topk_array", "with w as (select id, unnest(string_split(preview, ' ')) as word from (select distinct id, preview from ingestion_occurrences where preview is not null)), r as (select id, word, row_number() over (partition by id order by length(word) desc, word) as n from (select distinct id, word from w)) select id, string_agg(word, '|' order by n) as words from r where n <= 5 group by id")
@@ -204,7 +207,7 @@ _TOK = "regexp_extract_all(lower({}), '([a-z0-9äöüß]+)')"
 @query("set_difference_both_ways", f"with {PAGES}, o as (select distinct id, page_id, preview from ingestion_occurrences where preview is not null), j as (select o.id, list_distinct({_TOK.format('o.preview')}) as a, list_distinct({_TOK.format('p.text')}) as b from o join pages p on p.id = o.page_id where p.text is not null) select id, cast(len(list_filter(a, lambda x: not list_contains(b, x))) as integer) as new_words, cast(len(list_filter(b, lambda x: not list_contains(a, x))) as integer) as missing_words from j")
 def _(spark, d):
     o = table(spark, d, "ingestion_occurrences").where("preview is not null").select("id", "page_id", "preview").distinct()
-    p = pages(spark, d).where("text is not null").select(F.col("id").alias("page_id"), "text")
+    p = pages(spark, d, "text").where("text is not null").select(F.col("id").alias("page_id"), "text")
     a, b = T.words(F.col("preview")), T.words(F.col("text"))
     return o.join(p, "page_id").select("id", F.size(F.array_except(a, b)).alias("new_words"), F.size(F.array_except(b, a)).alias("missing_words"))
 
@@ -237,7 +240,7 @@ def _(spark, d):
 
 @query("set_multiset_difference", f"with {PAGES}, a as (select classification as c, count(*) as n from pages where page_number = 1 group by 1), b as (select classification as c, count(*) as n from pages where page_number = 2 group by 1) select coalesce(a.c, b.c) as class, coalesce(a.n, 0) - coalesce(b.n, 0) as excess from a full join b on a.c is not distinct from b.c")
 def _(spark, d):
-    count = lambda n, name: pages(spark, d).where(F.col("page_number") == n).groupBy(F.col("classification").alias("class")).agg(F.count(F.lit(1)).alias(name))
+    count = lambda n, name: pages(spark, d, "page_number", "classification").where(F.col("page_number") == n).groupBy(F.col("classification").alias("class")).agg(F.count(F.lit(1)).alias(name))
     a, b = count(1, "a"), count(2, "b").withColumnRenamed("class", "other")
     return a.join(b, F.col("class").eqNullSafe(F.col("other")), "full").select(F.coalesce("class", "other").alias("class"), (F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))).alias("excess"))
 

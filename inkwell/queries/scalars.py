@@ -25,8 +25,9 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def companies(spark, d):
-    return table(spark, d, "companies").select("id", "name", "normalized_name", "contact_key", "data_source", "canonical_fields_json", "secondary_findings_json", "canonical_updated_at").distinct()
+def companies(spark, d, *columns):
+    """One row per company; repeated rows are equal."""
+    return table(spark, d, "companies").select("id", *columns).distinct()
 
 
 COMP = "comp as (select distinct * from companies)"
@@ -43,13 +44,13 @@ _NORM = f"trim(regexp_replace(lower(regexp_replace({_PLAIN}, '[^\\x00-\\x7F]', '
 
 @query("text_normalize_name", f"with {COMP} select id, {_NORM.format('name')} as normal from comp where name is not null")
 def _(spark, d):
-    return companies(spark, d).where("name is not null").select("id", T.normalize_name(F.col("name")).alias("normal"))
+    return companies(spark, d, "name").where("name is not null").select("id", T.normalize_name(F.col("name")).alias("normal"))
 
 
 @query("text_contact_key", f"with {COMP}, c as (select id, try_cast(canonical_fields_json as json) as j from comp where try_cast(canonical_fields_json as json) is not null and json_type(try_cast(canonical_fields_json as json)) = 'OBJECT') select id, lower(trim(coalesce(json_extract_string(j, '$.street'), ''))) || '|' || lower(trim(coalesce(json_extract_string(j, '$.zip'), ''))) || '|' || lower(trim(coalesce(json_extract_string(j, '$.city'), ''))) as key from c where json_type(j, '$.street') = 'VARCHAR' and json_type(j, '$.zip') = 'VARCHAR' and json_type(j, '$.city') = 'VARCHAR'")
 def _(spark, d):
     get = lambda k: F.expr(f"try_variant_get(j, '$.{k}')")
-    c = companies(spark, d).select("id", F.try_parse_json("canonical_fields_json").alias("j"))
+    c = companies(spark, d, "contact_key", "canonical_fields_json").select("id", F.try_parse_json("canonical_fields_json").alias("j"))
     typed = c.where(reduce(lambda a, b: a & b, [F.schema_of_variant(get(k)) == "STRING" for k in ("street", "zip", "city")]))
     part = lambda k: get(k).cast("string")
     return typed.select("id", T.contact_key(part("street"), part("zip"), part("city")).alias("key"))
@@ -57,12 +58,12 @@ def _(spark, d):
 
 @query("text_form_label", f"with {COMP} select id, regexp_replace(lower(translate(replace(name, 'ß', 'ss'), '{T.ACCENTED}', '{T.BASE}')), '[^a-z0-9]', '', 'g') as label from comp where name is not null")
 def _(spark, d):
-    return companies(spark, d).where("name is not null").select("id", T.form_label(F.col("name")).alias("label"))
+    return companies(spark, d, "name").where("name is not null").select("id", T.form_label(F.col("name")).alias("label"))
 
 
 @query("text_clean_display", f"with {COMP} select id, regexp_replace(regexp_replace(name, '[ \t\r\n]+', ' ', 'g'), '^[ ,;:|·•-]+|[ ,;:|·•-]+$', '', 'g') as shown from comp where name is not null")
 def _(spark, d):
-    return companies(spark, d).where("name is not null").select("id", T.clean_display(F.col("name")).alias("shown"))
+    return companies(spark, d, "name").where("name is not null").select("id", T.clean_display(F.col("name")).alias("shown"))
 
 
 _FOLD = "lower(trim(regexp_replace({}, '[ \t\r\n]+', ' ', 'g')))"
@@ -75,13 +76,13 @@ def _(spark, d):
 
 @query("text_content_hash", f"with {PAGES} select id, sha256(text) as sha256, length(text) as chars from pages where text is not null")
 def _(spark, d):
-    return pages(spark, d).where("text is not null").select("id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("bigint").alias("chars"))
+    return pages(spark, d, "text").where("text is not null").select("id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("bigint").alias("chars"))
 
 
 @query("text_weak_key", f"with {COMP} select id, case when contact_key is null or contact_key = '' then 'weak:' || data_source || ':' || sha256(coalesce(canonical_fields_json, '')) else contact_key end as key from comp")
 def _(spark, d):
     weak = F.concat(F.lit("weak:"), "data_source", F.lit(":"), F.sha2(F.coalesce("canonical_fields_json", F.lit("")), 256))
-    return companies(spark, d).select("id", F.when(F.coalesce("contact_key", F.lit("")) == "", weak).otherwise(F.col("contact_key")).alias("key"))
+    return companies(spark, d, "contact_key", "data_source", "canonical_fields_json").select("id", F.when(F.coalesce("contact_key", F.lit("")) == "", weak).otherwise(F.col("contact_key")).alias("key"))
 
 
 _TEL = "t as (select id, nullif(trim(regexp_extract(preview, 'Tel\\.[ ]*([0-9+() /-]+)', 1)), '') as raw from o), p as (select id, raw, regexp_replace(raw, '[^0-9]', '', 'g') as d from t where raw is not null)"
@@ -96,7 +97,7 @@ def _(spark, d):
 
 @query("text_domain", f"with {COMP}, k as (select id, unnest(string_split(regexp_extract(contact_key, 'domain=([^|]*)', 1), ',')) as v from comp where contact_key is not null) select id, regexp_replace(lower(regexp_replace(regexp_replace(trim('HTTPS://WWW.' || v || '/'), '^(?i)https?://', ''), '/+$', '')), '^www\\.', '') as host from k where v <> ''")
 def _(spark, d):
-    k = companies(spark, d).where("contact_key is not null").select("id", F.explode(F.split(F.regexp_extract("contact_key", r"domain=([^|]*)", 1), ",")).alias("v")).where("v <> ''")
+    k = companies(spark, d, "contact_key").where("contact_key is not null").select("id", F.explode(F.split(F.regexp_extract("contact_key", r"domain=([^|]*)", 1), ",")).alias("v")).where("v <> ''")
     return k.select("id", T.domain(F.concat(F.lit("HTTPS://WWW."), "v", F.lit("/")), drop_www=True).alias("host"))
 
 
@@ -105,7 +106,7 @@ _MAIL = "([A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[A-Za-z]{2,})"
 
 @query("text_contacts", f"with {COMP}, c as (select id, canonical_fields_json as t from comp where canonical_fields_json is not null) select id, nullif(regexp_extract(t, '{_MAIL}', 1), '') as email, nullif(trim(regexp_extract(t, '((?:\\+49|0049|0)[ ]*(?:\\(?[0-9]{{2,5}}\\)?[ ./-]*)[0-9][0-9 ./-]{{4,}})', 1)), '') as phone from c")
 def _(spark, d):
-    c = companies(spark, d).where("canonical_fields_json is not null")
+    c = companies(spark, d, "canonical_fields_json").where("canonical_fields_json is not null")
     phone = r"((?:\+49|0049|0)[ ]*(?:\(?[0-9]{2,5}\)?[ ./-]*)[0-9][0-9 ./-]{4,})"
     return c.select("id", T.first_email(F.col("canonical_fields_json")).alias("email"), F.nullif(F.trim(F.regexp_extract("canonical_fields_json", phone, 1)), F.lit("")).alias("phone"))
 
@@ -155,12 +156,12 @@ def _(spark, d):
 
 @query("text_word_counts", f"with {PAGES}, w as (select unnest(regexp_extract_all(lower(text), '([a-z0-9äöüß]+)')) as word from pages where text is not null) select word, count(*) as n from w group by word")
 def _(spark, d):
-    return pages(spark, d).where("text is not null").select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return pages(spark, d, "text").where("text is not null").select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("text_substring_bleed", f"with {OCC}, t as (select id, page_id, {_FOLD.format('company')} as t from occ where company is not null) select a.id, case when exists (select 1 from t b where b.page_id = a.page_id and b.id <> a.id and length(b.t) > length(a.t) and contains(b.t, a.t)) and not regexp_matches(a.t, '[0-9]') then '' else a.t end as kept from t a")
 def _(spark, d):
-    t = occurrences(spark, d).where("company is not null").select("id", "page_id", T.folded(F.col("company")).alias("t"))
+    t = occurrences(spark, d, "page_id", "company", "confidence").where("company is not null").select("id", "page_id", T.folded(F.col("company")).alias("t"))
     other = t.select("page_id", F.col("id").alias("o"), F.col("t").alias("long"))
     hidden = t.join(other, "page_id").where("o <> id and length(long) > length(t) and contains(long, t)").select("id").distinct().withColumn("hit", F.lit(True))
     return t.join(hidden, "id", "left").select("id", F.when(F.col("hit") & ~F.col("t").rlike("[0-9]"), "").otherwise(F.col("t")).alias("kept"))
@@ -175,7 +176,7 @@ _CONF = "case t " + " ".join(f"when '{n}' then {c}" for n, _, c in TYPES) + " en
 @query("text_publication_type", f"with {PAGES}, f as (select document_id, string_agg(text, chr(10) order by id) as text from pages where page_number = 1 and text is not null group by document_id), x as (select d.id, {_TYPE('d.filename')} as a, {_TYPE('f.text')} as b from ingestion_documents d left join f on f.document_id = d.id), y as (select id, coalesce(a, b) as t, case when a is not null then 'filename' when b is not null then 'title-page' end as source from x) select id, t as type, {_CONF} as confidence, source from y")
 def _(spark, d):
     rule = lambda c: T.ladder([(n, F.lower(c).rlike(p)) for n, p, _ in TYPES])
-    first = pages(spark, d).where("page_number = 1 and text is not null").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), "\n").alias("first"))
+    first = pages(spark, d, "document_id", "page_number", "text").where("page_number = 1 and text is not null").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), "\n").alias("first"))
     x = documents(spark, d).select("id", "filename").join(first, F.col("id") == F.col("document_id"), "left").select("id", rule("filename").alias("a"), rule("first").alias("b"))
     confidence = reduce(lambda acc, t: acc.when(F.col("type") == t[0], t[2]), TYPES[1:], F.when(F.col("type") == TYPES[0][0], TYPES[0][2]))
     y = x.select("id", F.coalesce("a", "b").alias("type"), F.when(F.col("a").isNotNull(), "filename").when(F.col("b").isNotNull(), "title-page").alias("source"))
@@ -193,7 +194,7 @@ def _(spark, d):
 @query("text_title", f"with {PAGES}, l as (select document_id, list_filter(list_transform(string_split_regex(text, '\\r\\n|\\n|\\r'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 5 and not regexp_matches(x, '^[^A-Za-zÄÖÜäöüß]+$')) as l, id from pages where page_number = 1 and text is not null), t as (select document_id, arg_min(l[1], id) as title from l where len(l) > 0 group by document_id) select d.id, coalesce(t.title, regexp_replace(d.filename, '(?i)\\.pdf$', '')) as title, case when t.title is not null then 0.45 else 0.35 end as confidence from ingestion_documents d left join t on t.document_id = d.id where d.filename is not null")
 def _(spark, d):
     usable = F.filter(F.transform(F.split("text", r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: (F.length(x) >= 5) & ~x.rlike("^[^A-Za-zÄÖÜäöüß]+$"))
-    t = pages(spark, d).where("page_number = 1 and text is not null").select("document_id", "id", F.try_element_at(usable, F.lit(1)).alias("t")).where("t is not null").groupBy("document_id").agg(F.min_by("t", "id").alias("t"))
+    t = pages(spark, d, "document_id", "page_number", "text").where("page_number = 1 and text is not null").select("document_id", "id", F.try_element_at(usable, F.lit(1)).alias("t")).where("t is not null").groupBy("document_id").agg(F.min_by("t", "id").alias("t"))
     x = documents(spark, d).where("filename is not null").select("id", "filename").join(t, F.col("id") == F.col("document_id"), "left")
     return x.select("id", F.coalesce("t", F.regexp_replace("filename", r"(?i)\.pdf$", "")).alias("title"), F.when(F.col("t").isNotNull(), 0.45).otherwise(0.35).cast("double").alias("confidence"))
 
@@ -273,13 +274,13 @@ def _(spark, d):
 @query("math_page_class", f"with {PAGES}, p as (select id, page_number, length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) as n from pages) select id, case when n = 0 then 'blank' when n / 600.0 < 0.15 then 'ad-page' when page_number = 1 then 'cover' when n / 600.0 > 1.2 then 'editorial' else 'mixed' end as class from p")
 def _(spark, d):
     n = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
-    return pages(spark, d).select("id", F.when(n == 0, "blank").when(n / 600 < 0.15, "ad-page").when(F.col("page_number") == 1, "cover").when(n / 600 > 1.2, "editorial").otherwise("mixed").alias("class"))
+    return pages(spark, d, "page_number", "text").select("id", F.when(n == 0, "blank").when(n / 600 < 0.15, "ad-page").when(F.col("page_number") == 1, "cover").when(n / 600 > 1.2, "editorial").otherwise("mixed").alias("class"))
 
 
 @query("math_candidate_confidence", f"with {OCC} select id, cast(coalesce(len(evidence), 0) as integer) as signals, cast(floor(100 * least(0.98, 0.45 + 0.1 * coalesce(len(evidence), 0)) + 0.5) as bigint) as percent from occ")
 def _(spark, d):
     n = F.coalesce(F.array_size("evidence"), F.lit(0))
-    return occurrences(spark, d).select("id", n.alias("signals"), F.floor(100 * F.least(F.lit(0.98), 0.45 + 0.1 * n) + 0.5).alias("percent"))
+    return occurrences(spark, d, "evidence").select("id", n.alias("signals"), F.floor(100 * F.least(F.lit(0.98), 0.45 + 0.1 * n) + 0.5).alias("percent"))
 
 
 @query("date_floor_days", "select id, cast(floor((epoch_ms(timestamp '2026-01-01 06:00:00') - epoch_ms(created_at)) / 86400000.0) as bigint) as days from ingestion_documents")
@@ -308,19 +309,19 @@ def _(spark, d):
 @query("array_append_once", f"with {OCC} select id, array_to_string(list_sort(list_distinct(list_append(coalesce(evidence, []), 'logo'))), ',') as tags from occ")
 def _(spark, d):
     empty = F.array().cast("array<string>")
-    return occurrences(spark, d).select("id", F.array_join(F.array_sort(F.array_union(F.coalesce("evidence", empty), F.array(F.lit("logo")))), ",").alias("tags"))
+    return occurrences(spark, d, "evidence").select("id", F.array_join(F.array_sort(F.array_union(F.coalesce("evidence", empty), F.array(F.lit("logo")))), ",").alias("tags"))
 
 
 @query("json_box_shape", f"with {OCC} select id, json_extract_string(bbox, '$.x') is not null and json_extract_string(bbox, '$.y') is not null and json_extract_string(bbox, '$.width') is not null and json_extract_string(bbox, '$.height') is not null and json_extract_string(bbox, '$.confidence') is not null as complete from occ where bbox is not null")
 def _(spark, d):
     schema = "x double, y double, width double, height double, confidence double"
-    b = occurrences(spark, d).where("bbox is not null").select("id", F.from_json("bbox", schema).alias("b"))
+    b = occurrences(spark, d, "bbox", "confidence").where("bbox is not null").select("id", F.from_json("bbox", schema).alias("b"))
     return b.select("id", reduce(lambda a, c: a & c, [F.col(f"b.{k}").isNotNull() for k in ("x", "y", "width", "height", "confidence")]).alias("complete"))
 
 
 @query("json_paths", f"with {COMP} select id, json_extract_string(j, '$.company') as company, json_extract_string(j, '$.address.city') as city from (select id, try_cast(canonical_fields_json as json) as j from comp) where json_type(j) = 'OBJECT' and (json_type(j, '$.company') = 'VARCHAR' or json_type(j, '$.company') is null) and (json_type(j, '$.address.city') = 'VARCHAR' or json_type(j, '$.address.city') is null)")
 def _(spark, d):
-    c = companies(spark, d).select("id", F.try_parse_json("canonical_fields_json").alias("j")).where(F.schema_of_variant("j").startswith("OBJECT"))
+    c = companies(spark, d, "canonical_fields_json").select("id", F.try_parse_json("canonical_fields_json").alias("j")).where(F.schema_of_variant("j").startswith("OBJECT"))
     get = lambda p: F.expr(f"try_variant_get(j, '{p}')")
     plain = lambda p: get(p).isNull() | (F.schema_of_variant(get(p)) == "STRING")
     void = lambda p: F.coalesce(F.schema_of_variant(get(p)) != "VOID", F.lit(True))
@@ -329,7 +330,7 @@ def _(spark, d):
 
 @query("json_findings", f"with {COMP}, f as (select id, unnest(cast(try_cast(secondary_findings_json as json) as json[])) as f from comp where json_type(try_cast(secondary_findings_json as json)) = 'ARRAY') select id, json_extract_string(f, '$.source') as source, count(*) as findings from f group by 1, 2")
 def _(spark, d):
-    c = companies(spark, d).select("id", F.try_parse_json("secondary_findings_json").alias("j")).where(F.schema_of_variant("j").startswith("ARRAY"))
+    c = companies(spark, d, "secondary_findings_json").select("id", F.try_parse_json("secondary_findings_json").alias("j")).where(F.schema_of_variant("j").startswith("ARRAY"))
     each = c.select("id", F.explode(F.expr("try_variant_get(j, '$', 'array<variant>')")).alias("f"))
     return each.groupBy("id", F.expr("try_variant_get(f, '$.source', 'string')").alias("source")).agg(F.count(F.lit(1)).alias("findings"))
 
