@@ -255,10 +255,14 @@ def _(spark, d):
 
 @query("window_reservation")
 def _(spark, d):
-    """Charges of a tenant taken in order until the next one's bound would pass the stop; the stop makes it a fold."""
-    charge = F.struct("created_at", "id", (F.col("cost_micros") + 500).alias("bound"), F.col("cost_micros").alias("reported"))
-    per = ledger(spark, d).where("cost_micros is not null").groupBy("tenant_id", F.to_date("created_at").alias("day")).agg(F.array_sort(F.collect_list(charge)).alias("charges"))  # one tenant's calls of a day
-    return per.select("tenant_id", F.date_format("day", "yyyy-MM-dd").alias("day"), reserve_until(F.col("charges"), 100_000).alias("r")).select("tenant_id", "day", "r.used", "r.taken", "r.stopped")
+    """Charges of a tenant's day taken in order until the next one's bound would pass the stop; the stop makes it a fold. Each bound is at
+    least 500, so no more than 200 charges fit and the 201st is the last one that can matter: the fold's array is bounded."""
+    stop, least = 100_000, 500
+    w = Window.partitionBy("tenant_id", "day").orderBy("created_at", "id")
+    first = ledger(spark, d).where("cost_micros is not null").withColumn("day", F.to_date("created_at")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= stop // least + 1)
+    charge = F.struct("n", (F.col("cost_micros") + least).alias("bound"), F.col("cost_micros").alias("reported"))
+    per = first.groupBy("tenant_id", "day").agg(F.array_sort(F.collect_list(charge)).alias("charges"))
+    return per.select("tenant_id", F.date_format("day", "yyyy-MM-dd").alias("day"), reserve_until(F.col("charges"), stop).alias("r")).select("tenant_id", "day", "r.used", "r.taken", "r.stopped")
 
 
 QUERIES, ORACLES = Q, O
