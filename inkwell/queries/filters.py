@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from inkwell.functions import text as T
 from inkwell.plans.runtime import table
 
 Q, O = {}, {}
