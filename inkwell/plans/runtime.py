@@ -58,23 +58,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-HOT_PARTS = 256
+HOT_PARTS, HOT_ROWS = 256, 10_000
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], row_id: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], row_id: str, how: str = "inner") -> DataFrame:
     """Join where single keys of ``left`` may hold a large share of its rows.
 
-    A key with more than 1/HOT_PARTS of the rows of ``left`` is hot, so there are fewer than HOT_PARTS of
-    them whatever the data: that list is broadcast. Rows of a hot key are spread over HOT_PARTS salts
-    by their ``row_id`` and the right rows of that key are repeated once per salt; all other keys join as usual.
+    A key with more than 1/HOT_PARTS of the rows of ``left``, and more than HOT_ROWS, is hot: there are fewer than HOT_PARTS of
+    them whatever the data, and that list is broadcast. Rows of a hot key are spread over HOT_PARTS salts by their ``row_id`` and the
+    right rows of that key are repeated once per salt; all other keys, and everything where no key is hot, join as usual.
     ``right`` must not be hot in the same keys. Inner and left joins only; rows with null keys match nothing.
     """
     assert how in ("inner", "left")
-    total = left.count() if rows is None else rows
-    hot = left.groupBy(*keys).count().where(F.col("count") > max(10_000, total // HOT_PARTS)).select(*keys, F.lit(True).alias("_hot"))
-    hot = F.broadcast(hot)
-    a = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(HOT_PARTS))).otherwise(F.lit(0))).drop("_hot")
+    counts = left.groupBy(*keys).count().where(F.col("count") > HOT_ROWS)
+    top = counts.orderBy(F.desc("count")).limit(HOT_PARTS).collect()
+    least = left.count() // HOT_PARTS if top else 0
+    if not (top := [r for r in top if r["count"] > least]):
+        return left.join(right, keys, how)
+    hot = left.sparkSession.createDataFrame([(*(r[k] for k in keys), True) for r in top], ", ".join(f"{k} {t}" for k, t in counts.dtypes if k in keys) + ", _hot boolean")
+    hot = F.broadcast(hot.select(*keys, "_hot"))
+    a = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    b = b.withColumn("_salt", F.col("_salt").cast("bigint"))
-    a = a.withColumn("_salt", F.col("_salt").cast("bigint"))
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
