@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.plans.runtime import cut
+from inkwell.plans.runtime import cut, discard
 
 
 def _size(edges: DataFrame) -> tuple[int, int]:
@@ -29,7 +29,8 @@ def smallest_label(edges: DataFrame) -> DataFrame:
         # now each edge points from larger to smaller
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        last, edges = edges, cut(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         after = _size(edges)
         if after == before:
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,21 +42,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; only where none is named
-    (tests on one machine) a temporary folder of our own."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only on a local master, where one machine is all there is, a temporary
+    folder takes its place if none is named; elsewhere that is an error."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkwell-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage ended there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to the shared folder as a Parquet table and read again: its lineage ends there, it is computed once (an eager
+    checkpoint computes it twice) and lies there compressed."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+cut = stored
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind ``df`` if ``stored`` wrote it and nothing reads it any more, as in loops that hand a table on."""
+    if path := getattr(df, "_stored_at", None):
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 HOT_PARTS, HOT_ROWS = 256, 10_000
