@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.names import within
-from inkwell.plans.runtime import checkpoint_dir, skew_join
+from inkwell.plans.runtime import skew_join, stored
 
 #: Bound of the sample of pages the line model is fitted on; every page is then labelled.
 SAMPLE_PAGES = 1_500
@@ -258,13 +257,6 @@ def repairs(word: str) -> set[str]:
     return out
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` through a table in the shared folder."""
-    path = f"{checkpoint_dir(df.sparkSession)}/scans-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _page_names(pages: DataFrame, publications: DataFrame | None) -> tuple[DataFrame, frozenset[str]]:
     """((document_id, names): what the publication's heads look like, with the shapes heads have all over the corpus)."""
 
@@ -288,7 +280,7 @@ def _page_names(pages: DataFrame, publications: DataFrame | None) -> tuple[DataF
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string()))], names=["document_id", "page_id", "key", "kind", "n", "shape"])
 
-    seen = _written(pages.select("document_id", "id", "page_number", "text").mapInArrow(survey, "document_id bigint, page_id bigint, key string, kind int, n bigint, shape string"))
+    seen = stored(pages.select("document_id", "id", "page_number", "text").mapInArrow(survey, "document_id bigint, page_id bigint, key string, kind int, n bigint, shape string"))
     total = max(1, pages.count())
     # a page has four edge lines, so fewer than 8,000 shapes can hold a 2,000th of the pages each
     stats = seen.where("kind >= 2 and shape <> ''").groupBy("shape").agg(F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0)).alias("edge"), F.sum(F.when(F.col("kind") == 3, F.col("n")).otherwise(0)).alias("inside"))
@@ -377,8 +369,8 @@ def corrections(lexicon: DataFrame) -> DataFrame:
 
 def _restored_words(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((word, printed) of all misread words, (record, record_id, word, printed) of their occurrences)."""
-    lexicon = _written(labelled.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    wrong = _written(corrections(lexicon))
+    lexicon = stored(labelled.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    wrong = stored(corrections(lexicon))
     common = lexicon.join(wrong, "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word")
     rare = labelled.select("record", "record_id", F.explode("words").alias("word")).join(F.broadcast(common), "word", "left_anti")
     return wrong, rare.join(wrong, "word")
@@ -392,7 +384,7 @@ def find_noise(pages: DataFrame, occurrences: DataFrame, publications: DataFrame
     rows give one row. Lines are labelled by a hidden Markov model whose observations are a line's place on the page and whether it looks like a
     number, like the publication's name or a line that its pages repeat, or like heads elsewhere in the corpus.
     """
-    labelled = _written(label_records(pages, occurrences, publications))
+    labelled = stored(label_records(pages, occurrences, publications))
     wrong, misread = _restored_words(labelled)
     broken = labelled.select("record", "record_id", F.explode("broken").alias("word")).join(wrong, "word", "left")
     parts = [
@@ -407,7 +399,7 @@ def find_noise(pages: DataFrame, occurrences: DataFrame, publications: DataFrame
 def restore_text(pages: DataFrame, occurrences: DataFrame, publications: DataFrame | None = None) -> DataFrame:
     """(record, record_id, text): each text as readable paragraphs, a blank line between them, without heads, page numbers and contact lines,
     divided and misread words restored; the empty text where nothing is left. One row per id."""
-    labelled = _written(label_records(pages, occurrences, publications, keep_text=True).dropDuplicates(["record", "record_id"]))
+    labelled = stored(label_records(pages, occurrences, publications, keep_text=True).dropDuplicates(["record", "record_id"]))
     _, misread = _restored_words(labelled)
     by_record = misread.groupBy("record", "record_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "printed"))).alias("printed"))
 
