@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.groups import smallest_label
-from inkwell.plans.runtime import cut, skew_join
+from inkwell.plans.runtime import cut, ship_package, skew_join
 
 
 def star_edges(features: DataFrame, item: str, feature: str) -> DataFrame:
@@ -18,10 +18,10 @@ def star_edges(features: DataFrame, item: str, feature: str) -> DataFrame:
     return skew_join(known, low, [feature], item).where(F.col(item) != F.col("v")).select(F.col(item).alias("u"), "v").distinct()
 
 
-def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
+def peel(edges: DataFrame, rounds: int) -> tuple[tuple[DataFrame, int] | None, DataFrame]:
     """Breadth-first from the vertex of highest degree, at most ``rounds`` frontiers deep.
 
-    Gives (vertex, root) of what was reached, root its smallest vertex, and the edges left after the reached
+    Gives the vertices reached with their smallest, the root, and the edges left after the reached
     vertices are anti-joined away; edges that leave the reached part are kept, drawn from the root, so a component
     deeper than ``rounds`` is finished by the propagation and none is cut in two.
     """
@@ -41,7 +41,7 @@ def peel(edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
     inside = reached.select(F.col("vertex").alias("u"))
     untouched = edges.join(inside, "u", "left_anti").join(inside.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v")
     leaving = both.join(inside, "u", "left_semi").join(inside.withColumnRenamed("u", "v"), "v", "left_anti").select(F.lit(root).cast("bigint").alias("u"), "v")
-    return reached.withColumn("root", F.lit(root).cast("bigint")), cut(untouched.unionByName(leaving).distinct())
+    return (reached, root), cut(untouched.unionByName(leaving).distinct())
 
 
 def connected_components(edges: DataFrame, rounds: int = 6) -> DataFrame:
@@ -49,6 +49,7 @@ def connected_components(edges: DataFrame, rounds: int = 6) -> DataFrame:
 
     Null ends and self loops are dropped; repeated edges and either direction are fine; no edges give no rows.
     """
+    ship_package(edges.sparkSession)
     edges = cut(edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).where("u is not null and v is not null and u <> v").distinct())
     giant, rest = peel(edges, rounds)
     labels = smallest_label(rest)
@@ -56,7 +57,8 @@ def connected_components(edges: DataFrame, rounds: int = 6) -> DataFrame:
         return labels.select("vertex", F.col("label").alias("group_id"))
     labels = cut(labels)
     # the root may have been given a smaller label through edges that left the peeled part
-    moved = labels.withColumnRenamed("vertex", "root")
-    peeled = giant.join(F.broadcast(moved.join(F.broadcast(giant.select("root").limit(1)), "root", "left_semi")), "root", "left").select("vertex", F.coalesce("label", "root").alias("group_id"))
+    giant, root = giant
+    moved = labels.where(F.col("vertex") == root).select("label").head()
+    peeled = giant.select("vertex", F.lit(moved[0] if moved else root).cast("bigint").alias("group_id"))
     rest_labels = labels.join(giant.select("vertex"), "vertex", "left_anti").select("vertex", F.col("label").alias("group_id"))
     return peeled.unionByName(rest_labels)

@@ -12,7 +12,7 @@ from inkwell.llm.reading import reading_levels
 from inkwell.llm.scans import find_noise, restore_text
 from inkwell.llm.survivors import survivors
 from inkwell.llm.tokens import decode_corpus, encode_corpus
-from inkwell.plans.runtime import cut, table
+from inkwell.plans.runtime import table
 
 
 def _scans(spark, sf_dir):
@@ -48,12 +48,13 @@ def _claims(spark, sf_dir):
 
 
 def p4_found(spark, sf_dir):
-    return survivors(_claims(spark, sf_dir))
+    """The stated order names ids and positions for values without time; what it leaves open follows the learned order."""
+    return survivors(_claims(spark, sf_dir), currency="last")
 
 
 def p4_currency(spark, sf_dir):
     """Survivors where values without time are ranked by learned value transitions before company ids decide."""
-    return survivors(cut(_claims(spark, sf_dir)), currency=True)
+    return survivors(_claims(spark, sf_dir))
 
 
 def p5_found(spark, sf_dir):
