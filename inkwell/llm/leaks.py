@@ -2,73 +2,91 @@
 
 from __future__ import annotations
 
-import functools
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.folding import folded_words
-from inkwell.plans.runtime import cut
+from inkwell.plans.runtime import cut, ship_package, skew_join
 
 SHINGLE = 5
-#: Share of an item that counts as about half, and share of its words that must agree (about one in ten may differ).
-PASSAGE, AGREE = 0.45, 0.8
-#: Items handled in one pass over the corpus; more are taken in blocks of as many.
-BLOCK = 5_000
+#: Share of an item that counts as about half, and share of its words that must agree (about one in ten may differ, ends included two).
+PASSAGE, AGREE = 0.4, 0.8
+#: Bits of a sieve: 64 for each shingle, within these bounds.
+SIEVE_BITS = (1 << 22, 1 << 28)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+_KNOWN: dict[str, int] = {}
 
 
 def least_overlap(n_words: int) -> int:
-    """Shingles that a passage of about half an item still shares with it when every eighth word is changed."""
-    half = math.ceil(PASSAGE * n_words)
-    return max(4, half - SHINGLE + 1 - SHINGLE * math.ceil(0.13 * half))
+    """Shingles of an item of ``n_words`` that a passage of about half of it certainly holds when about every eighth of the passage's words is changed; one at least."""
+    half = math.ceil(0.45 * n_words)
+    return max(1, half - SHINGLE + 1 - SHINGLE * math.ceil(0.13 * half))
 
 
-def _hashes(ids: np.ndarray) -> np.ndarray:
+def word_ids(text: str) -> np.ndarray:
+    """A 64-bit id of each word of ``text``, the same wherever it is taken."""
+    if len(_KNOWN) > 1_000_000:
+        _KNOWN.clear()
+    out = []
+    for w in folded_words(text):
+        i = _KNOWN.get(w)
+        if i is None:
+            i = _KNOWN[w] = xxhash.xxh3_64_intdigest(w)
+        out.append(i)
+    return np.array(out, np.uint64)
+
+
+def shingles(ids: np.ndarray) -> np.ndarray:
     """Hash of the shingle that begins at each position."""
     n = len(ids) - SHINGLE + 1
     out = np.zeros(max(n, 0), np.uint64)
-    x = (ids + 7).astype(np.uint64)
     for k in range(SHINGLE if n > 0 else 0):
-        out = (out ^ x[k : k + n]) * _MULTIPLIERS[k]
+        out = (out ^ ids[k : k + n]) * _MULTIPLIERS[k]
         out ^= out >> np.uint64(29)
     return out
 
 
-class ItemIndex:
-    """The items' vocabulary, shingles and where each shingle stands; its size is that of the items alone."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.vocab: dict[str, int] = {}
-        self.words: dict[int, np.ndarray] = {}
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, text in items:
-            words = folded_words(text or "")
-            if len(words) >= 2 * SHINGLE:
-                ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], np.int64)
-                self.words[item] = ids
-                for at, h in enumerate(_hashes(ids).tolist()):
-                    places[h].append((item, at))
-        self.keys = np.array(sorted(places), np.uint64)
-        self.places = [places[h] for h in self.keys.tolist()]
-        self.least = {i: least_overlap(len(w)) for i, w in self.words.items()}
-
-    def prefixes(self, frequency: dict[int, int]) -> set[tuple[int, int]]:
-        """(shingle, item) for the rarest |S| - t + 1 shingles of each item: a text that shares t shares one of them."""
-        own: dict[int, set[int]] = defaultdict(set)
-        for sid, where in enumerate(self.places):
-            for item, _ in where:
-                own[item].add(sid)
-        out = set()
-        for item, sids in own.items():
-            order = sorted(sids, key=lambda s: (frequency.get(s, 0), s))
-            out |= {(s, item) for s in order[: max(1, len(order) - self.least[item] + 1)]}
-        return out
+class Sieve:
+    """A Bloom filter of shingles: lets all of its own through and few others. Its size has a bound, whatever the number of items."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
+
+    @staticmethod
+    def places(hashes: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
+        return [((hashes * _MULTIPLIERS[k]) >> np.uint64(20)) & mask for k in range(4)]
+
+    def passed(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of ``hashes`` that get through."""
+        left = np.arange(len(hashes))
+        for at in self.places(hashes, self.mask):
+            at = at[left]
+            left = left[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        return left
+
+    @classmethod
+    def of(cls, hashed: DataFrame) -> Sieve:
+        """Sieve of the column h, built as one bitmap for each of at most eight tasks."""
+        count = hashed.count()
+        size = min(max(1 << max(0, 64 * count - 1).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(size // 8, np.uint8)
+            for batch in batches:
+                for at in cls.places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.uint64(size - 1)):
+                    np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+        bits = np.zeros(size // 8, np.uint8)
+        for row in hashed.select("h").coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
+            bits |= np.frombuffer(row[0], np.uint8)
+        return cls(bits)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -93,121 +111,121 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return int(end_i - i), agree, int(end_j - j)
 
 
-def _holds(index: ItemIndex, item: int, words: np.ndarray, hits: list[tuple[int, int]]) -> bool:
-    """Whether the text holds the item or about half of it. ``hits``: (position in the text, position in the item)."""
-    own = index.words[item]
-    n, least = len(own), index.least[item]
+def holds(own: np.ndarray, words: np.ndarray) -> bool:
+    """Whether the text ``words`` holds the item ``own`` or about half of it: enough shared shingles within an item-sized window, then word alignment there."""
+    n, least, need = len(own), least_overlap(len(own)), max(SHINGLE, PASSAGE * len(own))
     slack = math.ceil(0.15 * n)
-    hits = sorted({(at - off, at, off) for at, off in hits})
-    diagonals = [d for d, _, _ in hits]
-    a = 0
-    tried = None
+    mine, theirs = shingles(own), shingles(words)
+    order = np.argsort(mine, kind="stable")
+    ranked = mine[order]
+    lo, hi = np.searchsorted(ranked, theirs, "left"), np.searchsorted(ranked, theirs, "right")
+    hits = sorted((int(at) - int(off), int(off)) for at in np.nonzero(hi > lo)[0] for off in order[lo[at] : hi[at]])
+    diagonals = [d for d, _ in hits]
+    a, tried = 0, None
     for b in range(len(hits)):
         while diagonals[b] - diagonals[a] > slack:
             a += 1
         if b - a + 1 < least or (b + 1 < len(hits) and diagonals[b + 1] - diagonals[a] <= slack):
             continue
-        if len({off for _, _, off in hits[a : b + 1]}) < least:
+        if len({off for _, off in hits[a : b + 1]}) < least:
             continue
         # the window that an item on these diagonals would fill, a slack wider at either end
-        first = max(0, diagonals[a] - slack)
-        last = min(len(words), diagonals[b] + n + slack)
+        first, last = max(0, diagonals[a] - slack), min(len(words), diagonals[b] + n + slack)
         if tried == (first, last):
             continue
         tried = (first, last)
         covered, agree, there = align(own, words[first:last])
-        if covered >= PASSAGE * n and agree >= AGREE * max(covered, there):
+        if covered >= need and agree >= AGREE * max(covered, there):
             return True
     return False
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id): documents that hold a held-out item, or a connected passage of about half of it or more.
+def _item_rows(items: DataFrame) -> DataFrame:
+    """(item_id, words, hs, least) of items with five words or more."""
+    kind = dict(items.dtypes)["item_id"]
 
-    Case, punctuation, spacing, markup and encoding may differ, and about one word in ten may be changed, dropped or added.
-    Rows without id or text give nothing; repeated rows give one row; items under ten words are no passage and give nothing.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, words, hs, least = [], [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                if len(ids := word_ids(text)) >= SHINGLE:
+                    keep.append(row)
+                    words.append(ids.tobytes())
+                    hs.append(np.unique(shingles(ids)).view(np.int64))
+                    least.append(least_overlap(len(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(words, pa.binary()), pa.array(hs, pa.list_(pa.int64())), pa.array(least, pa.int32())], names=["item_id", "words", "hs", "least"])
 
-    One scan folds every whole text and keeps which item shingles stand where (the items' index, whose size is that of at most ``block``
-    items, travels to the tasks). Shingle frequencies over all documents order each item's shingles by rarity; a document goes on if it
-    shares one of the necessary rarest and, within an item-sized window, as many as the length bound asks. Word-level alignment over
-    that window decides. A document is never joined with another, so copies held by a third of the corpus cost no more than other rows.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    kind = dict(docs.dtypes)["doc_id"]
-    item_kind = dict(items.select(item_id).dtypes)[item_id]
-    items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null").dropDuplicates(["item_id"])
-    blocks = max(1, math.ceil(items.count() / block))
-    parts = []
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        parts.append(_one_block(docs, [(r[0], r[1]) for r in own.collect()], kind, item_kind))
-    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"doc_id {kind}, item_id {item_kind}")
+    return cut(items.mapInArrow(read, f"item_id {kind}, words binary, hs array<bigint>, least int"))
+
+
+def shingle_counts(docs: DataFrame, sieve: Sieve) -> DataFrame:
+    """(h, n): in how many documents each shingle stands that the sieve lets through, folded within each batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = []
+            for text in batch.column(1).to_pylist():
+                h = shingles(word_ids(text))
+                if len(at := shared.value.passed(h)):
+                    seen.append(np.unique(h[at]))
+            h, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return docs.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def prefixes(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """(h, item_id): of each item's shingles the |S| - t + 1 that are rarest in the corpus: a text that shares t of them shares one of these."""
+    own = items.select("item_id", "least", F.size("hs").alias("size"), F.explode("hs").alias("h")).join(counts, "h", "left")
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "h"))  # the shingles of one item
+    return own.withColumn("rank", rank).where(F.col("rank") <= F.greatest(F.lit(1), F.col("size") - F.col("least") + 1)).select("h", "item_id")
 
-def _one_block(docs: DataFrame, items: list[tuple], kind: str, item_kind: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(items))
+
+def _candidates(docs: DataFrame, prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, uid, words) of documents that hold a shingle of ``prefix``, (doc_id, uid, item_id) pairs that share one)."""
+    kind = dict(docs.dtypes)["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast(Sieve.of(prefix.select("h").distinct()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        get, keys = index.vocab.get, index.keys
         for batch in batches:
-            if not len(keys):
-                return
-            flat: list[int] = []
-            starts = []
-            for t in batch.column(1).to_pylist():
-                starts.append(len(flat))
-                flat += [get(w, -1) for w in folded_words(t)]
-                flat += [-1] * SHINGLE
-            ids = np.array(flat, np.int64)
-            bounds = np.array([*starts, len(flat)])
-            unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-            whole = np.nonzero(unknown[SHINGLE:] == unknown[:-SHINGLE])[0] if len(ids) >= SHINGLE else np.zeros(0, np.int64)
-            hashed = _hashes(ids)[whole] if len(whole) else np.zeros(0, np.uint64)
-            sid = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
-            true = keys[sid] == hashed
-            whole, sid = whole[true], sid[true]
-            owner = np.searchsorted(bounds, whole, "right") - 1
-            rows, out_sid, out_at, out_ids = [], [], [], []
-            cuts = np.searchsorted(owner, np.arange(len(starts) + 1))
-            for d in range(len(starts)):
-                a, b = cuts[d], cuts[d + 1]
-                if a == b:
-                    continue
-                per_item: dict[int, int] = defaultdict(int)
-                for s in sid[a:b].tolist():
-                    for item, _ in index.places[s]:
-                        per_item[item] += 1
-                enough = any(c >= index.least[i] for i, c in per_item.items())
-                rows.append(d)
-                out_sid.append(sid[a:b].astype(np.int32))
-                out_at.append((whole[a:b] - bounds[d]).astype(np.int32))
-                out_ids.append(ids[bounds[d] : bounds[d + 1] - SHINGLE].astype(np.int32) if enough else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *(pa.array(x, pa.list_(pa.int32())) for x in (out_sid, out_at, out_ids))], names=["doc_id", "sids", "at", "words"])
-
-    hits = cut(docs.mapInArrow(scan, f"doc_id {kind}, sids array<int>, at array<int>, words array<int>"))
-    counted = hits.select(F.explode(F.array_distinct("sids")).alias("sid")).groupBy("sid").count()
-    prefix = docs.sparkSession.sparkContext.broadcast(shared.value.prefixes({r[0]: r[1] for r in counted.collect()}))  # at most one row per item shingle
+            keep, words, hs = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                h = shingles(ids := word_ids(text))
+                if len(at := shared.value.passed(h)):
+                    keep.append(row)
+                    words.append(ids.tobytes())
+                    hs.append(np.unique(h[at]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(words, pa.binary()), pa.array(hs, pa.list_(pa.int64()))], names=["doc_id", "words", "hs"])
+
+    hits = cut(docs.mapInArrow(scan, f"doc_id {kind}, words binary, hs array<bigint>").withColumn("uid", F.xxhash64("words")))
+    pairs = skew_join(hits.select("doc_id", "uid", F.explode("hs").alias("h")), prefix, ["h"], "uid").select("doc_id", "uid", "item_id").distinct()
+    return hits.select("doc_id", "uid", "words"), pairs
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id): documents that hold a held-out item, or a connected passage of about half of it or more.
+
+    Case, punctuation, spacing, markup and encoding may differ, and about one word in ten may be changed, dropped or added.
+    Rows without id or text give nothing; repeated rows give one row. A passage has five words at least, so items under five words give nothing.
+
+    A first scan counts in how many documents each item shingle stands, which orders an item's shingles by rarity; a second one looks for the necessary rarest
+    of them only (|S| - t + 1, t being what about half an item certainly shares). Both test whole texts against a sieve of bounded size, so the
+    number of items adds no scan and nothing that grows with it is broadcast; what gets through is joined on the shingle, hot shingles and items spread. Each pair of
+    document and item is then verified exactly: t shingles within an item-sized window, then word alignment there.
+    """
+    ship_package(docs.sparkSession)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    kind, item_kind = dict(docs.dtypes)["doc_id"], dict(items.select(item_id).dtypes)[item_id]
+    own = _item_rows(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null").dropDuplicates(["item_id"]))
+    counts = cut(shingle_counts(docs, Sieve.of(own.select(F.explode("hs").alias("h")).distinct())))
+    found, pairs = _candidates(docs, cut(prefixes(own, counts)))
+    with_item = skew_join(pairs, own.select("item_id", F.col("words").alias("item")), ["item_id"], "uid")
+    checked = with_item.join(found, ["doc_id", "uid"]).select("doc_id", "item_id", "item", "words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, needed = shared.value, prefix.value
         for batch in batches:
-            docs_out, items_out = [], []
-            for row, (sids, at, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-                per_item: dict[int, list] = defaultdict(list)
-                necessary = set()
-                for s, p in zip(sids, at):
-                    for item, off in index.places[s]:
-                        per_item[item].append((p, off))
-                        if (s, item) in needed:
-                            necessary.add(item)
-                array = np.array(words, np.int64)
-                for item in sorted(necessary):
-                    if len(per_item[item]) >= index.least[item] and _holds(index, item, array, per_item[item]):
-                        docs_out.append(row)
-                        items_out.append(item)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs_out, pa.int32())), pa.array(items_out, pa.int64())], names=["doc_id", "item_id"])
-
-    found = hits.where("words is not null").mapInArrow(verify, f"doc_id {kind}, item_id bigint")
-    return found.select("doc_id", F.col("item_id").cast(item_kind)).distinct()
+            keep = [row for row, (item, words) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if holds(np.frombuffer(item, np.uint64), np.frombuffer(words, np.uint64))]
+            yield batch.select(["doc_id", "item_id"]).take(pa.array(keep, pa.int64()))
+
+    return checked.mapInArrow(verify, f"doc_id {kind}, item_id {item_kind}").distinct()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from inkwell.llm.folding import folded_words, repair
-from inkwell.llm.leaks import ItemIndex, align, find_leaks, least_overlap
+from inkwell.llm.leaks import SIEVE_BITS, Sieve, _item_rows, align, find_leaks, holds, least_overlap, prefixes, shingle_counts, shingles, word_ids
 
 WORDS = [f"{a}{b}" for a in ("grün", "haus", "straß", "müll", "weg", "licht", "stein", "blau", "rast", "fluß") for b in ("e", "en", "ung", "ler", "heit", "bau", "amt", "tag", "ort", "zug")]
 
@@ -75,20 +75,50 @@ def test_found_are_the_planted(spark, case):
     assert set(got) == truth | {(9002, 3), (9003, 4)}
 
 
-def test_blocks_of_items_give_the_same(spark, case):
-    items, docs, truth = case
-    d, i = spark.createDataFrame([r[:2] for r in docs], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, text string")
-    assert {tuple(r) for r in find_leaks(d, i, block=7).collect()} == truth
-
-
-def test_prefix_filter_loses_nothing(case):
-    items, _, _ = case
-    index = ItemIndex(items)
-    needed = index.prefixes({s: s % 7 for s in range(len(index.places))})
-    for item, words in index.words.items():
-        own = {s for s, where in enumerate(index.places) if any(i == item for i, _ in where)}
-        skipped = {s for s in own if (s, item) not in needed}
-        assert len(skipped) < index.least[item] == least_overlap(len(words))
+def test_prefix_filter_prunes_and_loses_nothing(spark, case):
+    items, docs, _ = case
+    own = _item_rows(spark.createDataFrame(items, "item_id int, text string"))
+    corpus = spark.createDataFrame([r[:2] for r in docs], "doc_id bigint, text string")
+    counts = shingle_counts(corpus, Sieve.of(own.selectExpr("explode(hs) as h")))
+    seen = {h: 0 for r in own.collect() for h in r["hs"]}
+    for _, t, *_ in docs:
+        for h in set(shingles(word_ids(t)).view(np.int64).tolist()) & seen.keys():
+            seen[h] += 1
+    assert {r["h"]: r["n"] for r in counts.collect() if r["h"] in seen} == {h: n for h, n in seen.items() if n}
+    kept = {}
+    for r in prefixes(own, counts).collect():
+        kept.setdefault(r["item_id"], set()).add(r["h"])
+    for r in own.collect():
+        skipped = set(r["hs"]) - kept[r["item_id"]]
+        assert len(skipped) == r["least"] - 1 and r["least"] == least_overlap(len(dict(items)[r["item_id"]].split())) > 1
+        assert max(seen[h] for h in kept[r["item_id"]]) <= min(seen[h] for h in skipped)
+
+
+def test_sieve_lets_its_own_through(spark):
+    rng = np.random.default_rng(1)
+    own, other = rng.integers(-(2**63), 2**63 - 1, 3000), rng.integers(-(2**63), 2**63 - 1, 50_000)
+    sieve = Sieve.of(spark.createDataFrame([(int(h),) for h in own], "h bigint"))
+    assert len(sieve.passed(own.view(np.uint64))) == 3000 and len(sieve.passed(other.view(np.uint64))) < 50
+    assert len(sieve.bits) * 8 == SIEVE_BITS[0]
+    assert len(Sieve.of(spark.createDataFrame([], "h bigint")).passed(own.view(np.uint64))) == 0
+
+
+@pytest.mark.parametrize("n", [5, 8, 12, 20, 30, 50, 80, 140, 400])
+def test_items_of_every_length(n):
+    rng = random.Random(n)
+    found = halves = none = 0
+    for _ in range(100):
+        item, host = text(rng, n).split(), text(rng, 150).split()
+        start, at = rng.randrange(n - n // 2 + 1), rng.randrange(150)
+        half = item[start : start + n // 2]
+        hurt = list(half)
+        for k in rng.sample(range(len(half)), len(half) // 10):
+            hurt[k] = rng.choice(WORDS)
+        own, put = word_ids(" ".join(item)), lambda part: word_ids(" ".join(host[:at] + part + host[at:]))  # noqa: B023
+        found += holds(own, put(item))
+        halves += holds(own, put(hurt))
+        none += holds(own, put(item[: n // 5]))
+    assert found == 100 and none == 0 and (n < 20 or halves >= (80 if n < 50 else 95))
 
 
 def test_nothing(spark):
