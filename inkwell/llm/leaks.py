@@ -182,25 +182,32 @@ def prefixes(items: DataFrame, counts: DataFrame) -> DataFrame:
     return own.withColumn("rank", rank).where(F.col("rank") <= F.greatest(F.lit(1), F.col("size") - F.col("least") + 1)).select("h", "item_id")
 
 
-def _candidates(docs: DataFrame, prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, uid, words) of documents that hold a shingle of ``prefix``, (doc_id, uid, item_id) pairs that share one)."""
+def _candidates(docs: DataFrame, own: DataFrame, sieve: Sieve, prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, uid, text) of documents that hold a shingle of ``prefix`` and as many item shingles as the least demanding item asks,
+    (doc_id, uid, item_id) pairs that share a prefix shingle and as many shingles as the item asks)."""
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(Sieve.of(prefix.select("h").distinct()))
+    fewest = own.agg(F.min("least")).head()[0] or 1
+    shared = docs.sparkSession.sparkContext.broadcast((sieve, Sieve.of(prefix.select("h").distinct())))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, needed = shared.value
         for batch in batches:
-            keep, words, hs = [], [], []
+            keep, hs, rare = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                h = shingles(ids := word_ids(text))
-                if len(at := shared.value.passed(h)):
+                h = shingles(word_ids(text))
+                h = np.unique(h[every.passed(h)])
+                if len(h) >= fewest and len(at := needed.passed(h)):
                     keep.append(row)
-                    words.append(ids.tobytes())
-                    hs.append(np.unique(h[at]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(words, pa.binary()), pa.array(hs, pa.list_(pa.int64()))], names=["doc_id", "words", "hs"])
+                    hs.append(h.view(np.int64))
+                    rare.append(h[at].view(np.int64))
+            texts = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*texts.columns, pa.array(hs, pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "text", "hs", "rare"])
 
-    hits = cut(docs.mapInArrow(scan, f"doc_id {kind}, words binary, hs array<bigint>").withColumn("uid", F.xxhash64("words")))
-    pairs = skew_join(hits.select("doc_id", "uid", F.explode("hs").alias("h")), prefix, ["h"], "uid").select("doc_id", "uid", "item_id").distinct()
-    return hits.select("doc_id", "uid", "words"), pairs
+    hits = cut(docs.mapInArrow(scan, f"doc_id {kind}, text string, hs array<bigint>, rare array<bigint>").withColumn("uid", F.xxhash64("text")))
+    pairs = skew_join(hits.select("doc_id", "uid", F.explode("rare").alias("h")), prefix, ["h"], "uid").select("doc_id", "uid", "item_id").distinct()
+    asked = skew_join(pairs, own.select("item_id", F.col("hs").alias("theirs"), "least"), ["item_id"], "uid")
+    enough = asked.join(hits.select("doc_id", "uid", "hs"), ["doc_id", "uid"]).where(F.size(F.array_intersect("hs", "theirs")) >= F.col("least"))
+    return hits.select("doc_id", "uid", "text"), cut(enough.select("doc_id", "uid", "item_id").distinct())
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -218,14 +225,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(items.select(item_id).dtypes)[item_id]
     own = _item_rows(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null").dropDuplicates(["item_id"]))
-    counts = cut(shingle_counts(docs, Sieve.of(own.select(F.explode("hs").alias("h")).distinct())))
-    found, pairs = _candidates(docs, cut(prefixes(own, counts)))
+    sieve = Sieve.of(own.select(F.explode("hs").alias("h")).distinct())
+    counts = cut(shingle_counts(docs, sieve))
+    found, pairs = _candidates(docs, own, sieve, cut(prefixes(own, counts)))
     with_item = skew_join(pairs, own.select("item_id", F.col("words").alias("item")), ["item_id"], "uid")
-    checked = with_item.join(found, ["doc_id", "uid"]).select("doc_id", "item_id", "item", "words")
+    checked = with_item.join(found, ["doc_id", "uid"]).select("doc_id", "item_id", "item", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [row for row, (item, words) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if holds(np.frombuffer(item, np.uint64), np.frombuffer(words, np.uint64))]
+            keep = [row for row, (item, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if holds(np.frombuffer(item, np.uint64), word_ids(text))]
             yield batch.select(["doc_id", "item_id"]).take(pa.array(keep, pa.int64()))
 
     return checked.mapInArrow(verify, f"doc_id {kind}, item_id {item_kind}").distinct()
