@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.leaks import Sieve
 from inkwell.llm.names import within
-from inkwell.plans.runtime import skew_join, stored
+from inkwell.plans.runtime import cut, ship_package, skew_join, stored
 
 #: Bound of the sample of pages the line model is fitted on; every page is then labelled.
 SAMPLE_PAGES = 1_500
@@ -25,6 +27,8 @@ COMMON_WORDS = 20_000
 
 # Character groups scanners confuse, as read and as printed.
 CONFUSED = (("c", "e"), ("f", "t"), ("f", "s"), ("ri", "n"), ("b", "h"), ("@", "a"), ("!", "i"), ("1", "l"), ("1", "i"), ("0", "o"), ("0", "O"), ("n", "u"), ("q", "g"), ("rn", "m"), ("cl", "d"), ("ii", "ü"), ("a¨", "ä"), ("o¨", "ö"), ("u¨", "ü"), ("A¨", "Ä"), ("O¨", "Ö"), ("U¨", "Ü"), ("5", "S"), ("6", "G"), ("8", "B"), ("6", "ö"), ("B", "ß"), ("n", "rt"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("vv", "w"), ("I", "l"), ("l", "I"))
+#: Confusions that leave a character which no printed word has.
+SIGNS = tuple((read, printed) for read, printed in CONFUSED if not read.isalpha() or read in "ﬁﬂ")
 HYPHENS = "-‐¬\xad"
 EDGE = ".,;:()[]{}„“”\"»«?…'‚‘’·•|"
 
@@ -39,7 +43,8 @@ _OPEN_END = frozenset(".,;:!?" + HYPHENS)
 _LETTER = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(r"[^\W\d_]{2,}")
 
-ZONES = ("t1", "t2", "mid", "f2", "f1")
+ZONES = ("t1", "t2", "t3", "mid", "f3", "f2", "f1")
+MID, DEEP = 3, (2, 4)
 TYPES = ("blank", "number", "name", "shape", "title", "contact", "text")
 STATES = ("head", "number", "title", "body", "break", "contact")
 
@@ -95,29 +100,52 @@ def alike(a: str, b: str) -> bool:
 
 
 def zones_of(lines: list[str]) -> list[int]:
-    """Zone of each line; blank lines are in the middle."""
+    """Zone of each line: the first three and the last three filled ones by place, all others and blank lines in the middle."""
     filled = [i for i, line in enumerate(lines) if line.strip()]
-    zone = [2] * len(lines)
-    for place, code in ((1, 1), (0, 0)):
+    zone = [MID] * len(lines)
+    for place in (2, 1, 0):
         if place < len(filled):
-            zone[filled[place]] = code
-    for place, code in ((2, 3), (1, 4)):
-        if len(filled) - place > 1:
-            zone[filled[-place]] = code
+            zone[filled[place]] = place
+    for place in (3, 2, 1):
+        if len(filled) - place > (2 if place == 3 else 1):
+            zone[filled[-place]] = len(ZONES) - place
     return zone
 
 
-def symbols(lines: list[str], first_page: bool, names: list[str], shapes: frozenset[str]) -> list[int]:
-    """The observation of each line: its zone and what it looks like, as one number."""
+class Heads:
+    """What heads look like all over the corpus: a sieve of shapes, of bounded size."""
+
+    def __init__(self, sieve: Sieve) -> None:
+        self.sieve, self.known = sieve, {}
+
+    def __contains__(self, shape: str) -> bool:
+        if shape not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[shape] = len(self.sieve.passed(np.array([xxhash.xxh3_64_intdigest(shape)], np.uint64))) == 1
+        return self.known[shape]
+
+
+def symbols(lines: list[str], first_page: bool, names: list[str], shapes: Heads | frozenset[str], company: str | None = None) -> list[int]:
+    """The observation of each line: its zone and what it looks like, as one number. In an advert (``company`` given) the line that is the
+    advertiser's name is its title and nothing looks like a number or a head."""
     out = []
-    for line, zone in zip(lines, zones_of(lines)):
+    exact = frozenset(names)
+    for at, (line, zone) in enumerate(zip(lines, zones_of(lines))):
         bare = line.strip()
         kind = 6
         if not bare:
             kind = 0
+        elif company is not None:
+            kind = 4 if at == 0 and company and " ".join(bare.split()) == company else 5 if contact(bare) else 6
+            zone = 0 if kind == 4 else MID
         elif contact(bare):
             kind = 5
-        elif zone != 2:
+        elif zone in DEEP:
+            # the third line is a head only as its publication repeats it letter by letter
+            kind = 2 if may_be_head(bare) and head_key(bare) in exact else 6
+            zone = zone if kind == 2 else MID
+        elif zone != MID:
             if page_number(bare):
                 kind = 1
             elif may_be_head(bare):
@@ -137,8 +165,8 @@ class LineModel:
 
     def __init__(self) -> None:
         s, z, t = len(STATES), len(ZONES), len(TYPES)
-        edge, anywhere = np.array([5, 2, 0.2, 2, 5.0]), np.ones(z)
-        look = {"head": (edge, {"name": 6, "shape": 4, "text": 0.02}), "number": (edge, {"number": 10}), "title": (np.array([9, 0.1, 0.01, 0.01, 0.01]), {"title": 10}), "body": (anywhere * [1, 1, 6, 1, 1], {"text": 10, "name": 0.05, "shape": 0.3, "number": 0.05, "title": 0.3}), "break": (anywhere, {"blank": 10}), "contact": (anywhere, {"contact": 10})}
+        edge, anywhere = np.array([5, 2, 1, 0.2, 1, 2, 5.0]), np.ones(z)
+        look = {"head": (edge, {"name": 6, "shape": 4, "text": 0.02}), "number": (edge, {"number": 10}), "title": (np.array([9, 0.1, 0.01, 0.01, 0.01, 0.01, 0.01]), {"title": 10}), "body": (anywhere * [1, 1, 1, 6, 1, 1, 1], {"text": 10, "name": 0.05, "shape": 0.3, "number": 0.05, "title": 0.3}), "break": (anywhere, {"blank": 10}), "contact": (anywhere, {"contact": 10})}
         emit = np.full((s, z, t), 1e-4)
         for k, state in enumerate(STATES):
             where, kinds = look[state]
@@ -186,22 +214,22 @@ class LineModel:
         """State of each line. Runs of plain middle lines and breaks are walked as one, which the model can't tell apart."""
         short, place = [], []
         for o in seen:
-            plain = o // len(TYPES) == 2 and o % len(TYPES) in (0, 6)
+            plain = o // len(TYPES) == MID and o % len(TYPES) in (0, 6)
             if plain and short and short[-1] == -1:
                 place.append(len(short) - 1)
             else:
                 short.append(-1 if plain else o)
                 place.append(len(short) - 1)
-        body = 2 * len(TYPES) + 6
+        body = MID * len(TYPES) + 6
         path = self.viterbi(tuple(body if o == -1 else o for o in short)) if short else []
         return [(4 if o % len(TYPES) == 0 else path[p] if short[p] != -1 else 3) for o, p in zip(seen, place)]
 
 
 def compact(seen: list[int]) -> tuple[int, ...]:
     out: list[int] = []
-    body = 2 * len(TYPES) + 6
+    body = MID * len(TYPES) + 6
     for o in seen:
-        o = body if o // len(TYPES) == 2 and o % len(TYPES) in (0, 6) else o
+        o = body if o // len(TYPES) == MID and o % len(TYPES) in (0, 6) else o
         if not (out and out[-1] == body == o):
             out.append(o)
     return tuple(out)
@@ -246,6 +274,16 @@ def paragraphs(lines: list[str], states: list[int]) -> list[list[str]]:
     return [p for p in out if p]
 
 
+def plausible(word: str) -> set[str]:
+    """What a word may have been before one confusion, or before two if one of them left a sign that no word has (a digit or symbol between letters, a ligature, a lone dieresis)."""
+    out = repairs(word)
+    for read, printed in SIGNS:
+        if read in word and (fixed := word.replace(read, printed)) != word:
+            out |= {fixed} | repairs(fixed)
+    out.discard(word)
+    return out
+
+
 def repairs(word: str) -> set[str]:
     """What a word may have been before one confusion."""
     out = set()
@@ -257,8 +295,9 @@ def repairs(word: str) -> set[str]:
     return out
 
 
-def _page_names(pages: DataFrame, publications: DataFrame | None) -> tuple[DataFrame, frozenset[str]]:
-    """((document_id, names): what the publication's heads look like, with the shapes heads have all over the corpus)."""
+def _page_names(pages: DataFrame, publications: DataFrame | None) -> tuple[DataFrame, DataFrame, Heads]:
+    """((document_id, names): what the publication's heads look like; (document_id, page_id, own): further lines of a page that its publication repeats,
+    but on less than a fiftieth of its pages; the shapes heads have all over the corpus)."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,10 +308,13 @@ def _page_names(pages: DataFrame, publications: DataFrame | None) -> tuple[DataF
                     if not line.strip() or not may_be_head(line):
                         continue
                     first = number is not None and number <= 1
-                    if zone == 2:
+                    if zone == MID:
                         inside[shape(line)] += 1
+                    elif zone in DEEP:
+                        if not first:
+                            rows.append((doc, page, head_key(line), 0, 0, shape(line)))
                     elif not first:
-                        at_edge[shape(line)] += zone in (0, 4)
+                        at_edge[shape(line)] += zone in (0, len(ZONES) - 1)
                         rows.append((doc, page, head_key(line), 0, 0, shape(line)))
                     elif zone == 0:
                         rows.append((doc, page, head_key(line), 1, 0, None))
@@ -282,23 +324,31 @@ def _page_names(pages: DataFrame, publications: DataFrame | None) -> tuple[DataF
 
     seen = stored(pages.select("document_id", "id", "page_number", "text").mapInArrow(survey, "document_id bigint, page_id bigint, key string, kind int, n bigint, shape string"))
     total = max(1, pages.count())
-    # a page has four edge lines, so fewer than 8,000 shapes can hold a 2,000th of the pages each
-    stats = seen.where("kind >= 2 and shape <> ''").groupBy("shape").agg(F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0)).alias("edge"), F.sum(F.when(F.col("kind") == 3, F.col("n")).otherwise(0)).alias("inside"))
-    shapes = frozenset(r[0] for r in stats.where((F.col("edge") >= max(3, math.ceil(total / 2000))) & (F.col("edge") >= 3 * F.col("inside"))).select("shape").collect())
+    # by chance the more shapes look like heads' the more pages there are, but only as their logarithm
+    stats = cut(seen.where("kind >= 2 and shape <> ''").groupBy("shape").agg(F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0)).alias("edge"), F.sum(F.when(F.col("kind") == 3, F.col("n")).otherwise(0)).alias("inside")))
+    usual = stats.where((F.col("edge") >= max(3, math.ceil(math.log2(total)))) & (F.col("edge") >= 3 * F.col("inside"))).select("shape")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in batch.column(0).to_pylist()], np.uint64).view(np.int64))], names=["h"])
+
+    shapes = Heads(Sieve.of(cut(usual.mapInArrow(digest, "h bigint"))))
     # lines that begin like the running text of other pages repeat by chance
-    prose = stats.where("inside >= edge").select("shape")
+    prose = stats.where("inside > 0 and inside >= edge").select("shape")
     heads = seen.where("kind = 0 and document_id is not null").join(prose, "shape", "left_anti")
     counted = heads.groupBy("document_id", "key").agg(F.count_distinct("page_id").alias("pages"))
     in_doc = heads.groupBy("document_id").agg(F.count_distinct("page_id").alias("all"))
-    # a fiftieth of the pages at least, so a document has no more than 200 such keys
-    repeated = counted.join(in_doc, "document_id").where((F.col("pages") >= 2) & (F.col("pages") * 50 >= F.col("all"))).select("document_id", "key")
+    repeated = cut(counted.where("pages >= 2").join(in_doc, "document_id").select("document_id", "key", (F.col("pages") * 50 >= F.col("all")).alias("often")))
+    # those on a fiftieth of the pages or more (300 a document at most) are known to all its pages, misread too; the others to the pages they stand on
+    own = cut(heads.join(repeated.where("not often and length(key) >= 4"), ["document_id", "key"]).groupBy("document_id", "page_id").agg(F.collect_set("key").alias("own")))
+    repeated = repeated.where("often").select("document_id", "key")
     titles = seen.where("kind = 1 and document_id is not null").groupBy("document_id").agg(F.min("key").alias("key"))
     names = repeated.unionByName(titles)
     if publications is not None:
         stem = F.regexp_replace(F.regexp_replace(F.lower("filename"), r"\.[a-z0-9]{2,4}$", ""), "ß", "ss")
         names = names.unionByName(publications.where("id is not null and filename is not null").groupBy(F.col("id").alias("document_id")).agg(F.min(F.regexp_replace(stem, r"[^\p{L}]+", "")).alias("key")))
     names = names.where(F.length("key") >= 4).groupBy("document_id").agg(F.collect_set("key").alias("names"))
-    return names, shapes
+    return names, own, shapes
 
 
 RECORD = "record string, record_id bigint, heads array<string>, numbers array<string>, broken array<string>, words array<string>, paragraphs array<string>"
@@ -307,26 +357,26 @@ RECORD = "record string, record_id bigint, heads array<string>, numbers array<st
 def label_records(pages: DataFrame, occurrences: DataFrame, publications: DataFrame | None = None, keep_text: bool = False) -> DataFrame:
     """One row per page and advert with its running heads, page numbers, rejoined words, the distinct words of its running text and, with
     ``keep_text``, its paragraphs (misread words not yet restored)."""
+    ship_package(pages.sparkSession)
     pages = pages.where("id is not null and text is not null").select(F.col("id").cast("bigint"), F.col("document_id").cast("bigint"), "page_number", "text")
-    names, shapes = _page_names(pages, publications)
+    names, own, shapes = _page_names(pages, publications)
     spark = pages.sparkSession
     sample = pages.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES)
     rows = sample.join(names, "document_id", "left").select("page_number", "text", "names").collect()  # at most SAMPLE_PAGES
     model = LineModel().fit([compact(symbols(lines_of(r[1]), r[0] is not None and r[0] <= 1, r[2] or [], shapes)) for r in rows])
-    shared = spark.sparkContext.broadcast((model, shapes))
+    adverts = occurrences.where("id is not null and preview is not null").select(F.lit("occurrence").alias("record"), F.col("id").cast("bigint").alias("record_id"), F.lit(None).cast("int").alias("page_number"), F.col("preview").alias("text"), F.lit(None).cast("array<string>").alias("names"), F.coalesce(F.trim(F.regexp_replace("company", r"\s+", " ")), F.lit("")).alias("company"))
+    shown = adverts.orderBy(F.xxhash64("record_id"), "record_id", "text").limit(SAMPLE_PAGES).select("text", "company").collect()  # at most SAMPLE_PAGES
+    advert_model = LineModel().fit([compact(symbols(lines_of(r[0]), False, [], shapes, r[1])) for r in shown])
+    shared = spark.sparkContext.broadcast((model, advert_model, shapes))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value
+        page_model, small, known = shared.value
         for batch in batches:
             out = []
             for record, rid, number, text, known_names, company in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 lines = lines_of(text)
-                if record == "page":
-                    states = m.label(symbols(lines, number is not None and number <= 1, known_names or [], known))
-                else:
-                    states = [4 if not x.strip() else 5 if contact(x) else 3 for x in lines]
-                    if company is not None and lines and " ".join(lines[0].split()) == " ".join(company.split()):
-                        states[0] = 2
+                m = page_model if record == "page" else small
+                states = m.label(symbols(lines, number is not None and number <= 1, known_names or [], known, company))
                 words, broken, texts = {}, {}, []
                 for part in paragraphs(lines, states):
                     tokens, joined = join_lines(part)
@@ -341,9 +391,9 @@ def label_records(pages: DataFrame, occurrences: DataFrame, publications: DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), *[pa.list_(pa.string())] * 5))], names=["record", "record_id", "heads", "numbers", "broken", "words", "paragraphs"])
 
     with_names = skew_join(pages.withColumn("document_id", F.coalesce("document_id", F.lit(-1))), names, ["document_id"], "id", "left")
-    unified = with_names.select(F.lit("page").alias("record"), F.col("id").alias("record_id"), "page_number", "text", "names", F.lit(None).cast("string").alias("company")).unionByName(
-        occurrences.where("id is not null and preview is not null").select(F.lit("occurrence").alias("record"), F.col("id").cast("bigint").alias("record_id"), F.lit(None).cast("int").alias("page_number"), F.col("preview").alias("text"), F.lit(None).cast("array<string>").alias("names"), "company")
-    )
+    if not own.isEmpty():
+        with_names = with_names.join(own.withColumnRenamed("page_id", "id"), ["document_id", "id"], "left").withColumn("names", F.coalesce(F.concat("names", "own"), "names", "own"))
+    unified = with_names.select(F.lit("page").alias("record"), F.col("id").alias("record_id"), "page_number", "text", "names", F.lit(None).cast("string").alias("company")).unionByName(adverts)
     return unified.mapInArrow(label, RECORD)
 
 
@@ -356,7 +406,7 @@ def corrections(lexicon: DataFrame) -> DataFrame:
             word, n, printed = [], [], []
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if any(x.isalpha() for x in w):
-                    for v in repairs(w):
+                    for v in plausible(w):
                         word.append(w)
                         n.append(c)
                         printed.append(v)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from inkwell.llm.scans import alike, corrections, find_noise, head_key, join_lines, may_be_head, page_number, repairs, restore_text
+from inkwell.llm.scans import alike, corrections, find_noise, head_key, join_lines, may_be_head, page_number, plausible, repairs, restore_text
 
 PAGE = "id bigint, document_id bigint, page_number int, text string, image_key string, kind string"
 OCC = "id bigint, company string, preview string, status string, restored string"
@@ -28,6 +28,25 @@ def test_heads_and_repairs():
     assert "bleibt" in repairs("b1eibt") and "Vertretung" in repairs("Venretung") and "über" not in repairs("uber")
 
 
+def test_two_confusions_in_one_word():
+    assert "Verwaltung" in plausible("Verwa1tnng") and "Wohnung" in plausible("W0hnnng") and "Wohnung" not in plausible("Wohmmmg")
+
+
+def test_heads_of_three_lines_and_of_rare_sections(spark):
+    rng = random.Random(8)
+    words = ["Rat", "Hilfe", "Sport", "Bad", "Wald", "Markt", "Fest", "Chor", "Turm", "Quelle", "Garten", "Bach"]
+    rows, truth = [], set()
+    for n in range(1, 241):
+        body = [f"Der {rng.choice(words)} und das {rng.choice(words)} {rng.choice(words).lower()}en {rng.randrange(1000)} mal am {k}. Tag," for k in range(9)]
+        top = ["Amtsblatt Altachdorf", "Gemeinde Oberaltach", "Nachrichten der Verwaltung"]
+        section = ["Vereinsleben Spezial"] if n in (50, 170) else []
+        rows.append((n, 1, n, "\n".join([*top, *section, "", *body]) if not section else "\n".join([top[0], *section, "", *body]), "", ""))
+        truth |= {(n, t) for t in (top if not section else [top[0], *section]) if n > 1}
+    got = find_noise(spark.createDataFrame(rows, PAGE), spark.createDataFrame([], OCC), None)
+    heads = {(r[1], r[3]) for r in got.where("kind = 'running_head' and record_id > 1").collect()}
+    assert heads == truth
+
+
 def pages():
     rng, out, n = random.Random(4), [], 0
     # twelve different places and verbs keep the words frequent enough to restore their misreadings
