@@ -30,16 +30,17 @@ def least_overlap(n_words: int) -> int:
 
 
 def word_ids(text: str) -> np.ndarray:
-    """A 64-bit id of each word of ``text``, the same wherever it is taken."""
+    """A 63-bit id of each word of ``text``, the same wherever it is taken."""
     if len(_KNOWN) > 1_000_000:
         _KNOWN.clear()
-    out = []
-    for w in folded_words(text):
-        i = _KNOWN.get(w)
-        if i is None:
-            i = _KNOWN[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(i)
-    return np.array(out, np.uint64)
+    words = folded_words(text)
+    ids = [*map(_KNOWN.get, words)]
+    if None in ids:
+        for w in words:
+            if w not in _KNOWN:
+                _KNOWN[w] = xxhash.xxh3_64_intdigest(w) >> 1
+        ids = [*map(_KNOWN.get, words)]
+    return np.array(ids, np.int64).view(np.uint64)
 
 
 def shingles(ids: np.ndarray) -> np.ndarray:
@@ -111,33 +112,44 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return int(end_i - i), agree, int(end_j - j)
 
 
+class Item:
+    """An item's words and where each of its shingles stands."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        own = shingles(ids)
+        self.order = np.argsort(own, kind="stable")
+        self.sorted, self.words, self.least = own[self.order], ids.astype(np.uint32), least_overlap(len(ids))
+
+    def held_by(self, hashes: np.ndarray, at: np.ndarray, words: np.ndarray) -> bool:
+        """Whether a text holds the item or about half of it: enough shared shingles within an item-sized window, then word alignment there.
+        ``hashes`` of the text's shingles stand ``at`` these places of its ``words`` (32 bits each)."""
+        n, need, slack = len(self.words), max(SHINGLE, PASSAGE * len(self.words)), math.ceil(0.15 * len(self.words))
+        lo, hi = np.searchsorted(self.sorted, hashes, "left"), np.searchsorted(self.sorted, hashes, "right")
+        hits = sorted((int(at[k]) - int(off), int(off)) for k in np.nonzero(hi > lo)[0] for off in self.order[lo[k] : hi[k]])
+        diagonals = [d for d, _ in hits]
+        a, tried = 0, None
+        for b in range(len(hits)):
+            while diagonals[b] - diagonals[a] > slack:
+                a += 1
+            if b - a + 1 < self.least or (b + 1 < len(hits) and diagonals[b + 1] - diagonals[a] <= slack):
+                continue
+            if len({off for _, off in hits[a : b + 1]}) < self.least:
+                continue
+            # the window that an item on these diagonals would fill, a slack wider at either end
+            first, last = max(0, diagonals[a] - slack), min(len(words), diagonals[b] + n + slack)
+            if tried == (first, last):
+                continue
+            tried = (first, last)
+            covered, agree, there = align(self.words, words[first:last])
+            if covered >= need and agree >= AGREE * max(covered, there):
+                return True
+        return False
+
+
 def holds(own: np.ndarray, words: np.ndarray) -> bool:
-    """Whether the text ``words`` holds the item ``own`` or about half of it: enough shared shingles within an item-sized window, then word alignment there."""
-    n, least, need = len(own), least_overlap(len(own)), max(SHINGLE, PASSAGE * len(own))
-    slack = math.ceil(0.15 * n)
-    mine, theirs = shingles(own), shingles(words)
-    order = np.argsort(mine, kind="stable")
-    ranked = mine[order]
-    lo, hi = np.searchsorted(ranked, theirs, "left"), np.searchsorted(ranked, theirs, "right")
-    hits = sorted((int(at) - int(off), int(off)) for at in np.nonzero(hi > lo)[0] for off in order[lo[at] : hi[at]])
-    diagonals = [d for d, _ in hits]
-    a, tried = 0, None
-    for b in range(len(hits)):
-        while diagonals[b] - diagonals[a] > slack:
-            a += 1
-        if b - a + 1 < least or (b + 1 < len(hits) and diagonals[b + 1] - diagonals[a] <= slack):
-            continue
-        if len({off for _, off in hits[a : b + 1]}) < least:
-            continue
-        # the window that an item on these diagonals would fill, a slack wider at either end
-        first, last = max(0, diagonals[a] - slack), min(len(words), diagonals[b] + n + slack)
-        if tried == (first, last):
-            continue
-        tried = (first, last)
-        covered, agree, there = align(own, words[first:last])
-        if covered >= need and agree >= AGREE * max(covered, there):
-            return True
-    return False
+    """Whether the text of ``words`` holds the item of words ``own`` or about half of it."""
+    h = shingles(words)
+    return Item(own).held_by(h, np.arange(len(h)), words.astype(np.uint32))
 
 
 def _item_rows(items: DataFrame) -> DataFrame:
@@ -158,21 +170,31 @@ def _item_rows(items: DataFrame) -> DataFrame:
     return cut(items.mapInArrow(read, f"item_id {kind}, words binary, hs array<bigint>, least int"))
 
 
-def shingle_counts(docs: DataFrame, sieve: Sieve) -> DataFrame:
-    """(h, n): in how many documents each shingle stands that the sieve lets through, folded within each batch."""
+def shingle_hits(docs: DataFrame, sieve: Sieve, fewest: int) -> DataFrame:
+    """(doc_id, uid, hs, at, words): of each text with any shingle that the sieve lets through those shingles and where they stand, and its words where
+    the shingles are as many as the least demanding item asks. The one scan of the texts."""
+    kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = []
-            for text in batch.column(1).to_pylist():
-                h = shingles(word_ids(text))
+            keep, hs, places, words = [], [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                h = shingles(ids := word_ids(text))
                 if len(at := shared.value.passed(h)):
-                    seen.append(np.unique(h[at]))
-            h, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+                    keep.append(row)
+                    hs.append(h[at].view(np.int64))
+                    places.append(at.astype(np.int32))
+                    words.append(ids.astype(np.uint32).tobytes() if len(at) >= fewest else None)
+            owner = batch.column(0).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([owner, pa.array(hs, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(words, pa.binary())], names=["doc_id", "hs", "at", "words"])
+
+    return cut(docs.mapInArrow(scan, f"doc_id {kind}, hs array<bigint>, at array<int>, words binary").withColumn("uid", F.xxhash64("hs", "at", "words")))
+
 
-    return docs.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+def shingle_counts(hits: DataFrame) -> DataFrame:
+    """(h, n): in how many texts each shingle stands."""
+    return hits.select(F.explode(F.array_distinct("hs")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
 def prefixes(items: DataFrame, counts: DataFrame) -> DataFrame:
@@ -182,32 +204,13 @@ def prefixes(items: DataFrame, counts: DataFrame) -> DataFrame:
     return own.withColumn("rank", rank).where(F.col("rank") <= F.greatest(F.lit(1), F.col("size") - F.col("least") + 1)).select("h", "item_id")
 
 
-def _candidates(docs: DataFrame, own: DataFrame, sieve: Sieve, prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, uid, text) of documents that hold a shingle of ``prefix`` and as many item shingles as the least demanding item asks,
-    (doc_id, uid, item_id) pairs that share a prefix shingle and as many shingles as the item asks)."""
-    kind = dict(docs.dtypes)["doc_id"]
-    fewest = own.agg(F.min("least")).head()[0] or 1
-    shared = docs.sparkSession.sparkContext.broadcast((sieve, Sieve.of(prefix.select("h").distinct())))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, needed = shared.value
-        for batch in batches:
-            keep, hs, rare = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                h = shingles(word_ids(text))
-                h = np.unique(h[every.passed(h)])
-                if len(h) >= fewest and len(at := needed.passed(h)):
-                    keep.append(row)
-                    hs.append(h.view(np.int64))
-                    rare.append(h[at].view(np.int64))
-            texts = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*texts.columns, pa.array(hs, pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "text", "hs", "rare"])
-
-    hits = cut(docs.mapInArrow(scan, f"doc_id {kind}, text string, hs array<bigint>, rare array<bigint>").withColumn("uid", F.xxhash64("text")))
-    pairs = skew_join(hits.select("doc_id", "uid", F.explode("rare").alias("h")), prefix, ["h"], "uid").select("doc_id", "uid", "item_id").distinct()
-    asked = skew_join(pairs, own.select("item_id", F.col("hs").alias("theirs"), "least"), ["item_id"], "uid")
-    enough = asked.join(hits.select("doc_id", "uid", "hs"), ["doc_id", "uid"]).where(F.size(F.array_intersect("hs", "theirs")) >= F.col("least"))
-    return hits.select("doc_id", "uid", "text"), cut(enough.select("doc_id", "uid", "item_id").distinct())
+def candidate_pairs(hits: DataFrame, own: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(doc_id, uid, item_id): texts and items that share a prefix shingle and as many shingles as the item asks."""
+    texts = hits.where("words is not null")
+    pairs = skew_join(texts.select("doc_id", "uid", F.explode(F.array_distinct("hs")).alias("h")), prefix, ["h"], "uid").select("doc_id", "uid", "item_id").distinct()
+    asked = skew_join(cut(pairs), own.select("item_id", F.col("hs").alias("theirs"), "least"), ["item_id"], "uid")
+    enough = asked.join(texts.select("doc_id", "uid", "hs"), ["doc_id", "uid"]).where(F.size(F.array_intersect("hs", "theirs")) >= F.col("least"))
+    return cut(enough.select("doc_id", "uid", "item_id").distinct())
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -216,24 +219,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     Case, punctuation, spacing, markup and encoding may differ, and about one word in ten may be changed, dropped or added.
     Rows without id or text give nothing; repeated rows give one row. A passage has five words at least, so items under five words give nothing.
 
-    A first scan counts in how many documents each item shingle stands, which orders an item's shingles by rarity; a second one looks for the necessary rarest
-    of them only (|S| - t + 1, t being what about half an item certainly shares). Both test whole texts against a sieve of bounded size, so the
-    number of items adds no scan and nothing that grows with it is broadcast; what gets through is joined on the shingle, hot shingles and items spread. Each pair of
+    One scan of the whole texts keeps the shingles that a sieve of the items' shingles lets through; its size has a bound, so the number of items adds no scan
+    and nothing that grows with it is broadcast. In how many documents each stands orders an item's shingles by rarity, and only the necessary rarest
+    (|S| - t + 1, t being what about half an item certainly shares) are joined, hot shingles and items spread. Each pair of
     document and item is then verified exactly: t shingles within an item-sized window, then word alignment there.
     """
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(items.select(item_id).dtypes)[item_id]
     own = _item_rows(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null").dropDuplicates(["item_id"]))
-    sieve = Sieve.of(own.select(F.explode("hs").alias("h")).distinct())
-    counts = cut(shingle_counts(docs, sieve))
-    found, pairs = _candidates(docs, own, sieve, cut(prefixes(own, counts)))
+    hits = shingle_hits(docs, Sieve.of(own.select(F.explode("hs").alias("h")).distinct()), own.agg(F.min("least")).head()[0] or 1)
+    pairs = candidate_pairs(hits, own, cut(prefixes(own, shingle_counts(hits))))
     with_item = skew_join(pairs, own.select("item_id", F.col("words").alias("item")), ["item_id"], "uid")
-    checked = with_item.join(found, ["doc_id", "uid"]).select("doc_id", "item_id", "item", "text")
+    checked = with_item.join(hits, ["doc_id", "uid"]).select("doc_id", "item_id", "item", "hs", "at", "words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, Item] = {}
         for batch in batches:
-            keep = [row for row, (item, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if holds(np.frombuffer(item, np.uint64), word_ids(text))]
+            keep = []
+            for row, (raw, hs, at, words) in enumerate(zip(batch.column(2).to_pylist(), *(batch.column(k) for k in (3, 4, 5)))):
+                if raw not in known:
+                    if len(known) > 5_000:
+                        known.clear()
+                    known[raw] = Item(np.frombuffer(raw, np.uint64))
+                if known[raw].held_by(hs.values.to_numpy().view(np.uint64), at.values.to_numpy(), np.frombuffer(words.as_py(), np.uint32)):
+                    keep.append(row)
             yield batch.select(["doc_id", "item_id"]).take(pa.array(keep, pa.int64()))
 
     return checked.mapInArrow(verify, f"doc_id {kind}, item_id {item_kind}").distinct()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from inkwell.llm.folding import folded_words, repair
-from inkwell.llm.leaks import SIEVE_BITS, Sieve, _item_rows, align, find_leaks, holds, least_overlap, prefixes, shingle_counts, shingles, word_ids
+from inkwell.llm.leaks import SIEVE_BITS, Sieve, _item_rows, align, find_leaks, holds, least_overlap, prefixes, shingle_counts, shingle_hits, shingles, word_ids
 
 WORDS = [f"{a}{b}" for a in ("grün", "haus", "straß", "müll", "weg", "licht", "stein", "blau", "rast", "fluß") for b in ("e", "en", "ung", "ler", "heit", "bau", "amt", "tag", "ort", "zug")]
 
@@ -79,7 +79,7 @@ def test_prefix_filter_prunes_and_loses_nothing(spark, case):
     items, docs, _ = case
     own = _item_rows(spark.createDataFrame(items, "item_id int, text string"))
     corpus = spark.createDataFrame([r[:2] for r in docs], "doc_id bigint, text string")
-    counts = shingle_counts(corpus, Sieve.of(own.selectExpr("explode(hs) as h")))
+    counts = shingle_counts(shingle_hits(corpus, Sieve.of(own.selectExpr("explode(hs) as h")), 1))
     seen = {h: 0 for r in own.collect() for h in r["hs"]}
     for _, t, *_ in docs:
         for h in set(shingles(word_ids(t)).view(np.int64).tolist()) & seen.keys():
