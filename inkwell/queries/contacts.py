@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import channels as C
+from inkwell.functions import signals as S
 from inkwell.functions import text as T
 from inkwell.plans.runtime import table
 from inkwell.queries.joining import OCC, PAGES, documents, occurrences, pages
@@ -33,7 +34,7 @@ def _(spark, d):
     return v.withColumn("shown", C.shown(F.col("channel"), F.col("value")))
 
 
-@query("channel_lines", f"with {PREV}, l as (select id, unnest(string_split(preview, chr(10))) as line from o), n as (select id, list_filter(regexp_extract_all(regexp_replace(line, '(?i)^\\s*(telefax|fax|telefon|tel\\.?|phone)\\s*[:-]?\\s*', ''), '([0-9][0-9 ./-]*[0-9])'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 6) as n, line from l where regexp_matches(line, '^Tel')) select id, case when contains(lower(line), 'fax') then 'fax' else 'phone' end as channel, 'digits:' || regexp_replace(n[1], '[^0-9]', '', 'g') as key from n where len(n) > 0")
+@query("channel_lines", f"with {PREV}, l as (select id, unnest(string_split(preview, chr(10))) as line from o), n as (select id, list_filter(regexp_extract_all(regexp_replace(line, '[\\s,;()<>]+', ' ', 'g'), '([0-9][0-9 ./-]*[0-9])'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 6) as n, line from l where regexp_matches(line, '^Tel')) select id, case when contains(lower(line), 'fax') then 'fax' else 'phone' end as channel, 'digits:' || regexp_replace(n[1], '[^0-9]', '', 'g') as key from n where len(n) > 0")
 def _(spark, d):
     line = previews(spark, d).select("id", F.explode(F.split("preview", "\n")).alias("line")).where("startswith(line, 'Tel')")
     c = line.select("id", F.explode(C.channels(F.col("line"))).alias("c"))
@@ -79,21 +80,18 @@ def _(spark, d):
     return previews(spark, d).select("id", C.without_marker(F.col("preview"), "die").alias("rest"))
 
 
-_PLACE = "(?:Sankt |Bad )?[A-ZÄÖÜ][a-zäöüß]*altach[a-zäöüß]*"
-
-
-@query("text_region_counts", f"with {PAGES}, m as (select document_id, unnest(regexp_extract_all(text, '({_PLACE})')) as place from pages where text is not null), g as (select document_id, place, count(*) as n from m group by 1, 2), b as (select document_id, arg_max(place, (n, place)) as place, max(n) as n from g group by 1) select document_id, place, n as mentions, case when n > 1 then 0.78 else 0.52 end as confidence from b")
+@query("text_region_counts", f"with {PAGES}, m as (select document_id, unnest(regexp_extract_all(text, '{S.MENTION}', 1)) as place from pages where text is not null), g as (select document_id, place, count(*) as n from m group by 1, 2), b as (select document_id, arg_max(place, (n, place)) as place, max(n) as n from g group by 1) select document_id, place, n as mentions, case when n > 1 then 0.78 else 0.52 end as confidence from b")
 def _(spark, d):
-    m = pages(spark, d, "document_id", "text").where("text is not null").select("document_id", F.explode(F.regexp_extract_all("text", F.lit(f"({_PLACE})"), F.lit(1))).alias("place"))
+    m = pages(spark, d, "document_id", "text").where("text is not null").select("document_id", F.explode(F.regexp_extract_all("text", F.lit(S.MENTION), F.lit(1))).alias("place"))
     g = m.groupBy("document_id", "place").agg(F.count(F.lit(1)).alias("n"))
     b = g.groupBy("document_id").agg(F.max_by("place", F.struct("n", "place")).alias("place"), F.max("n").alias("mentions"))
     return b.withColumn("confidence", F.when(F.col("mentions") > 1, 0.78).otherwise(0.52).cast("double"))
 
 
-@query("text_region_source", f"with {PAGES}, f as (select document_id, arg_min(text, id) as t from pages where page_number = 1 and text is not null group by 1), x as (select d.id, nullif(regexp_extract(d.filename, '({_PLACE})', 1), '') as a, nullif(regexp_extract(f.t, '({_PLACE})', 1), '') as b from ingestion_documents d left join f on f.document_id = d.id) select id, coalesce(a, b) as place, case when a is not null then 'filename' when b is not null then 'title-page' end as source, a is not null and b is not null and a = b as agree from x")
+@query("text_region_source", f"with {PAGES}, f as (select document_id, arg_min(text, id) as t from pages where page_number = 1 and text is not null group by 1), x as (select d.id, nullif(regexp_extract(d.filename, '{S.PLACE}', 1), '') as a, nullif(regexp_extract(f.t, '{S.PLACE}', 1), '') as b from ingestion_documents d left join f on f.document_id = d.id) select id, coalesce(a, b) as place, case when a is not null then 'filename' when b is not null then 'title-page' end as source, a is not null and b is not null and a = b as agree from x")
 def _(spark, d):
     first = pages(spark, d, "document_id", "page_number", "text").where("page_number = 1 and text is not null").groupBy("document_id").agg(F.min_by("text", "id").alias("t"))
-    place = lambda c: F.nullif(F.regexp_extract(c, f"({_PLACE})", 1), F.lit(""))
+    place = lambda c: F.nullif(F.regexp_extract(c, S.PLACE, 1), F.lit(""))
     x = documents(spark, d).select("id", "filename").join(first, F.col("id") == F.col("document_id"), "left").select("id", place("filename").alias("a"), place("t").alias("b"))
     return x.select("id", F.coalesce("a", "b").alias("place"), F.when(F.col("a").isNotNull(), "filename").when(F.col("b").isNotNull(), "title-page").alias("source"), F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("agree"))
 
@@ -105,7 +103,7 @@ def _(spark, d):
     return occurrences(spark, d, "company", "preview").select("id", first.alias("f")).select("id", "f.company", "f.source")
 
 
-@query("json_leaves", f"with recursive {COMP}, r(id, field, v, depth) as (select id, '', try_cast(canonical_fields_json as json), 0 from comp where try_cast(canonical_fields_json as json) is not null union all select r.id, coalesce(lower(k.key), r.field), k.value, r.depth + 1 from r, (select unnest(json_keys(r.v)) as key, json_extract(r.v, '$.\"' || unnest(json_keys(r.v)) || '\"') as value where json_type(r.v) = 'OBJECT' union all select null, unnest(cast(r.v as json[])) where json_type(r.v) = 'ARRAY') k where json_type(r.v) in ('OBJECT', 'ARRAY') and r.depth < 5) select field, count(*) as n from r where json_type(v) not in ('OBJECT', 'ARRAY', 'NULL') group by field")
+@query("json_leaves", f"with recursive {COMP}, r(id, field, v, depth) as (select id, '', try_cast(canonical_fields_json as json), 0 from comp where try_cast(canonical_fields_json as json) is not null union all select r.id, coalesce(lower(k.key), r.field), k.value, r.depth + 1 from r, (select unnest(json_keys(r.v)) as key, json_extract(r.v, '$.\"' || unnest(json_keys(r.v)) || '\"') as value where json_type(r.v) = 'OBJECT' union all select null, unnest(cast(r.v as json[])) where json_type(r.v) = 'ARRAY') k where json_type(r.v) in ('OBJECT', 'ARRAY')) select field, count(*) as n from r where json_type(v) not in ('OBJECT', 'ARRAY', 'NULL') group by field")
 def _(spark, d):
     return C.leaves(companies(spark, d, "canonical_fields_json").where("canonical_fields_json is not null"), "id", "canonical_fields_json").groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from inkwell.functions import signals as S
 from inkwell.plans.runtime import table
 
 Q, O = {}, {}
@@ -111,10 +112,10 @@ def boxes(spark, d):
     return o.select("id", get("x").alias("x"), get("y").alias("y"), get("width").alias("w"), get("height").alias("h"), F.col("confidence").alias("c")).distinct()
 
 
-@query("filter_plausible_box", f"with {_BOX} select id from b where w * h >= 0.01 and w * h <= 1 and w / greatest(h, 0.001) between 0.5 and 4")
+@query("filter_plausible_box", f"with {_BOX} select id from b where w * h >= 0.003 and w * h <= 1 and w / greatest(h, 0.001) between 0.08 and 12")
 def _(spark, d):
     b = boxes(spark, d)
-    return b.where((F.col("w") * F.col("h")).between(0.01, 1) & (F.col("w") / F.greatest(F.col("h"), F.lit(0.001))).between(0.5, 4)).select("id")
+    return b.where((F.col("w") * F.col("h")).between(0.003, 1) & (F.col("w") / F.greatest(F.col("h"), F.lit(0.001))).between(0.08, 12)).select("id")
 
 
 @query("filter_box_gate", f"with {_BOX}, g as (select id, c < 0.7 as low, not (w * h <= 0.75 and y >= 0.12 and y + h <= 0.92 and w <= 0.95 and h <= 0.82) as odd from b where x is not null and y is not null and w is not null and h is not null and c is not null) select id, concat_ws(', ', case when low then 'low confidence' end, case when odd then 'implausible frame' end) as reason from g where low or odd")
@@ -125,24 +126,27 @@ def _(spark, d):
     return b.where(low | odd).select("id", F.concat_ws(", ", F.when(low, "low confidence"), F.when(odd, "implausible frame")).alias("reason"))
 
 
-_SIGNAL = "(www\\.|https?://|@|telefon|tel\\.|fax|€|eur|angebot|rabatt|aktion|gmbh|e\\.v\\.|\\.de)"
-
-
-@query("filter_signal_probability", f"with o as (select distinct id, preview from ingestion_occurrences where preview is not null), n as (select id, len(regexp_extract_all(lower(preview), '{_SIGNAL}')) as n from o) select id, cast(n as bigint) as signals, least(0.98, 0.08 + 0.08 * n) >= 0.4 as mixed from n")
+@query("filter_signal_probability", f"with o as (select distinct id, preview from ingestion_occurrences where preview is not null), n as (select id, len(regexp_extract_all(lower(preview), '{S.AD}')) as n from o) select id, cast(n as bigint) as signals, least(0.98, 0.08 + 0.08 * n) >= 0.4 as mixed from n")
 def _(spark, d):
     o = table(spark, d, "ingestion_occurrences").where("preview is not null").select("id", "preview").distinct()
-    n = F.regexp_count(F.lower("preview"), F.lit(_SIGNAL))
+    n = F.regexp_count(F.lower("preview"), F.lit(S.AD))
     return o.select("id", n.cast("bigint").alias("signals"), (F.least(F.lit(0.98), 0.08 + 0.08 * n) >= 0.4).alias("mixed"))
 
 
-_PH = "(\\+49|0049|0)[ ]*(\\(?[0-9]{2,5}\\)?[ ./-]*)[0-9][0-9 ./-]{4,}"
-_ED = "(impressum|herausgeber|verantwortlich|redaktion|bekanntmachung|amtliche mitteilung)"
+_FAMILIES = {"contact": S.CONTACT, "phone": S.PHONE, "advertiser": S.ADVERTISER, "editorial": S.EDITORIAL, "public_origin": S.PUBLIC, "directory": S.DIRECTORY}
+
+
+@query("filter_signal_families", "with o as (select distinct id, preview from ingestion_occurrences where preview is not null) select id, " + ", ".join(f"regexp_matches(lower(preview), '{p}') as {k}" for k, p in _FAMILIES.items()) + " from o")
+def _(spark, d):
+    o = table(spark, d, "ingestion_occurrences").where("preview is not null").select("id", "preview").distinct()
+    return o.select("id", *[F.lower("preview").rlike(p).alias(k) for k, p in _FAMILIES.items()])
 
 
-@query("filter_acceptance", f"with o as (select distinct id, preview, list_contains(evidence, 'logo') as logo from ingestion_occurrences where preview is not null and evidence is not null) select id from o where logo and regexp_matches(preview, '{_PH}') and not regexp_matches(lower(preview), '{_ED}')")
+@query("filter_acceptance", f"with o as (select distinct id, lower(preview) as t, list_contains(evidence, 'logo') as logo from ingestion_occurrences where preview is not null and evidence is not null) select id from o where logo and regexp_matches(t, '{S.PHONE}') and not regexp_matches(t, '{S.PUBLIC}') and not regexp_matches(t, '{S.DIRECTORY}') and not regexp_matches(t, '{S.EDITORIAL}')")
 def _(spark, d):
-    o = table(spark, d, "ingestion_occurrences").where("preview is not null and evidence is not null").select("id", "preview", F.array_contains("evidence", "logo").alias("logo")).distinct()
-    return o.where(F.col("logo") & F.col("preview").rlike(_PH) & ~F.lower("preview").rlike(_ED)).select("id")
+    o = table(spark, d, "ingestion_occurrences").where("preview is not null and evidence is not null").select("id", F.lower("preview").alias("t"), F.array_contains("evidence", "logo").alias("logo")).distinct()
+    t = F.col("t")
+    return o.where(F.col("logo") & t.rlike(S.PHONE) & ~t.rlike(S.PUBLIC) & ~t.rlike(S.DIRECTORY) & ~t.rlike(S.EDITORIAL)).select("id")
 
 
 @query("filter_markings", "select distinct id, company from ingestion_occurrences where lower(trim(company)) in ('anzeige', 'anzeigen', 'werbeanzeige', 'werbeanzeigen')")

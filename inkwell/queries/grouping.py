@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from inkwell.functions import signals as S
 from inkwell.functions.geometry import box, suppress
 from inkwell.operators.ordered import GENESIS, build_chain, latest, reserve_until, segments, verify_chain
 from inkwell.plans.runtime import table
@@ -92,12 +93,9 @@ def _(spark, d):
     return g.where("f > 0.5").select("document_id", pixel("x").alias("left_px"), pixel("y").alias("top_px"), F.round((1 - 1 / 6) * F.col("f") + (1 / 6) * F.col("c"), 6).alias("confidence"))
 
 
-_TOWN = "regexp_extract_all(text, '(Altach[a-zäöüß]+)')"
-
-
-@query("agg_place_mentions", f"with {PAGES}, m as (select document_id, unnest({_TOWN}) as place from pages where text is not null), g as (select document_id, place, count(*) as n from m group by 1, 2) select document_id, place, n as mentions from g qualify row_number() over (partition by document_id order by n desc, place) <= 3")
+@query("agg_place_mentions", f"with {PAGES}, m as (select document_id, unnest(regexp_extract_all(text, '{S.MENTION}', 1)) as place from pages where text is not null), g as (select document_id, place, count(*) as n from m group by 1, 2) select document_id, place, n as mentions from g qualify row_number() over (partition by document_id order by n desc, place) <= 3")
 def _(spark, d):
-    m = pages(spark, d, "document_id", "text").where("text is not null").select("document_id", F.explode(F.regexp_extract_all("text", F.lit("(Altach[a-zäöüß]+)"), F.lit(1))).alias("place"))
+    m = pages(spark, d, "document_id", "text").where("text is not null").select("document_id", F.explode(F.regexp_extract_all("text", F.lit(S.MENTION), F.lit(1))).alias("place"))
     w = Window.partitionBy("document_id").orderBy(F.desc("mentions"), "place")
     return m.groupBy("document_id", "place").agg(F.count(F.lit(1)).alias("mentions")).withColumn("n", F.row_number().over(w)).where("n <= 3").drop("n")
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from inkwell.functions import exact as X
+from inkwell.functions import signals as S
 from inkwell.functions import text as T
 from inkwell.functions.geometry import area, box, iou, pad, to_pixels, union
 from inkwell.plans.runtime import table
@@ -138,7 +139,10 @@ def _(spark, d):
 _LOWP = "lower(line)"
 
 
-@query("text_forbidden_rules", f"with {PREV}, l as (select id, unnest(string_split(preview, chr(10))) as line from o), k as (select id, case when regexp_matches({_LOWP}, '([0-9]+([.,][0-9]{{1,2}})?\\s?(€|eur|euro|chf)|(€|eur|euro|chf)\\s?[0-9]+)') then 'price_or_currency' when regexp_matches({_LOWP}, '[a-z]{{2}}[0-9]{{2}}([\\s-]?[a-z0-9]){{11,30}}') and regexp_matches({_LOWP}, '(iban|bic|konto|bank)') then 'bank_details' when regexp_matches({_LOWP}, '(gültig|gueltig|bis|deadline|frist|heute|vom|zeitraum)') and regexp_matches({_LOWP}, '([0-9]|termin|beratung|aktion|angebot)') then 'validity_or_deadline' when regexp_matches({_LOWP}, '(aktion|angebot|rabatt|sale|promotion|kampagne)') then 'campaign_or_offer' end as rule from l) select rule, count(*) as lines, count(distinct id) as records from k where rule is not null group by rule")
+_LINE = "lower(trim(regexp_replace(line, '[ \t\r\n]+', ' ', 'g')))"
+
+
+@query("text_forbidden_rules", f"with {PREV}, l as (select id, {_LINE} as line from (select id, unnest(string_split(preview, chr(10))) as line from o)), k as (select id, case when regexp_matches(line, '{S.PRICE}') then 'price_or_currency' when regexp_matches(line, '{S.IBAN}') and regexp_matches(line, '{S.BANK}') then 'bank_details' when regexp_matches(line, '{S.VALIDITY}') and regexp_matches(line, '{S.VALID_FOR}') then 'validity_or_deadline' when regexp_matches(line, '{S.CAMPAIGN}') or (contains(line, 'kostenlos') and contains(line, 'beratungstermin')) then 'campaign_or_offer' end as rule from l) select rule, count(*) as lines, count(distinct id) as records from k where rule is not null group by rule")
 def _(spark, d):
     line = previews(spark, d).select("id", F.explode(F.split("preview", "\n")).alias("line"))
     return line.select("id", T.forbidden_content(F.col("line")).alias("rule")).where("rule is not null").groupBy("rule").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("id").alias("records"))
@@ -345,4 +349,15 @@ def _(spark, d):
     return m.select("id", F.col("m.value").isNotNull().alias("has_confidence"), F.when(F.col("m.clash"), "confidence").otherwise("").alias("conflict"))
 
 
+@query("math_class_probability", f"with {PAGES} select id, case classification when 'ad-page' then 1.0 when 'mixed' then 0.5 else 0.0 end as probability from pages")
+def _(spark, d):
+    known = F.create_map(F.lit("ad-page"), F.lit(1.0), F.lit("mixed"), F.lit(0.5))
+    return pages(spark, d, "classification").select("id", F.coalesce(F.try_element_at(known, F.coalesce("classification", F.lit(""))), F.lit(0.0)).alias("probability"))
+
+
+@query("text_provenance_warning", f"with {PREV} select id, regexp_matches(lower(preview), '{S.UNCERTAIN}') as uncertain from o")
+def _(spark, d):
+    return previews(spark, d).select("id", F.lower("preview").rlike(S.UNCERTAIN).alias("uncertain"))
+
+
 QUERIES, ORACLES = Q, O
