@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.plans.runtime import ship_package
+
 #: Monoids a window can be folded with: combining function and identity. Only associativity is needed, no inverse.
 MONOIDS: dict[str, tuple[Callable, object]] = {
     "total": (lambda a, b: a + b, 0),
@@ -47,7 +49,7 @@ class TwoStackWindow:
 
 
 def daily_totals(df: DataFrame, key: str, entity: str, ts: str, value: str) -> DataFrame:
-    """(entity, day, day_total, day_max, day_min): every ``key`` counted once, folded before and after the shuffle.
+    """(entity, day, day_total, day_max, day_min): every ``key`` counted once, by one shuffle of the rows, then folded to days.
 
     Rows without entity or time are left out; a null value counts as 0; rows whose key is null can't be recognised as
     repeats and count each; deliveries of one key that differ in entity, day or value count each. Columns of other names in ``df`` don't matter.
@@ -63,9 +65,10 @@ def rolling_totals(df: DataFrame, key: str, entity: str, ts: str, value: str, pe
     period p total_p and avg_p (total_p / p, days without rows and days before the first counting as 0);
     with ``extremes`` also max_p and min_p over the single values, null where the period holds none.
 
-    Only one row per entity and active day is shuffled and sorted; each task walks its sorted partition once,
+    Rows are shuffled once by id; after that only one row per entity and active day is shuffled and sorted, and each task walks its sorted partition once,
     holding one window per period, so memory doesn't grow with the data. An empty table gives an empty result.
     """
+    ship_package(df.sparkSession)
     daily = daily_totals(df, key, entity, ts, value)
     kind = dict(daily.dtypes)["entity"]
     folds = ["total", "max", "min"] if extremes else ["total"]
