@@ -8,7 +8,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import permutations
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -54,8 +54,10 @@ _OCR = str.maketrans({"1": "l", "0": "o", "5": "s", "6": "g", "8": "b", "|": "l"
 NEAR_WORDS = 50_000
 #: Letter triples are counted in as many cells, whatever the vocabulary.
 CELLS = 1 << 18
-#: Longer names proper are compared by their halves instead of their deletions.
-LONG = 60
+#: Two edits in longer words are found over their halves instead of over all deletions of two letters.
+LONG = 30
+#: Two misspelt tokens of more than these are found over a fifth of them instead of over all pairs.
+MANY = 16
 
 _TOKEN = re.compile(r"[^\W_]+\.?")
 _WORDS = re.compile(r"[^\W_]+")
@@ -421,76 +423,112 @@ def deletion_hashes(words: list[str], seeds: np.ndarray, most: int) -> Iterator[
             yield np.repeat(np.array(at), h.shape[1]), (h ^ (h >> np.uint64(29))).ravel()
 
 
-def index_keys(core: str, tokens: list[str]) -> tuple[list[str], list[str]]:
-    """What a name proper is found by besides its own deletions: (strings of which one letter may be missing, strings as they stand). Of two or three tokens every order is
-    tried, as a misspelling may change it, of more every token is left out once; long names go by their halves, of which one edit spares one."""
-    near: list[str] = []
-    exact = []
-    if len(core) > LONG:
-        for h in {(len(core) + k) // 2 for k in (-1, 0, 1)}:
-            exact += [f"<{core[:h]}", f">{core[-h:]}"]
-    elif len(core) >= 5 and 2 <= len(tokens) <= 3:
-        near = ["".join(o) for o in permutations(tokens)]
-    if len(tokens) > 3:
-        exact += ["|".join(tokens[:i] + tokens[i + 1 :]) for i in range(min(len(tokens), LONG))]
-    return near, exact
-
-
-def _hooks(cores: DataFrame, most: int, rule: Callable[[str, str, int, int, int, Callable[[str, str], float]], bool], counts: np.ndarray) -> DataFrame:
-    """(cid, parent_id): for each core the nearest, then highest, of those that share its block and a string left by deleting up to ``most`` letters or one of its index_keys and
-    that rank higher (of two that rank alike, the one of smaller hash) and that ``rule`` (core, parent, n, m, edits, how odd a core is against a parent) lets be its parent.
-
-    Keys are shuffled and sorted once as hashes; of each run of a key the links to its highest core and to the next higher one go
-    on, so no pairs within a group arise, however large it is."""
+_WHOLE, _PREFIX, _SUFFIX, _ONE_TOKEN, _TWO_TOKENS, _MANY_TOKENS = (xxhash.xxh3_64_intdigest(k) for k in ("whole", "prefix", "suffix", "one token", "two tokens", "many tokens"))
+_ALL = (1 << 64) - 1
+
+
+def _whole_keys(word: str, edits: int, seed: int) -> Iterator[tuple[str, int, int]]:
+    """(string, letters to delete, seed): two words up to ``edits`` apart share a string so shortened. Of two edits in a long word one half has one at most; where the halves
+    meet depends on the edits, so four lengths of each are taken."""
+    if edits < 2 or len(word) <= LONG:
+        yield word, edits, (seed + _WHOLE) & _ALL
+    if edits == 2 and len(word) > LONG - 2:
+        half = len(word) // 2
+        for k in range(-1, 3):
+            yield word[: half + k], 1, (seed + _PREFIX) & _ALL
+            yield word[half - k + 1 :], 1, (seed + _SUFFIX) & _ALL
+
+
+def _halves(word: str) -> np.ndarray:
+    """Hashes of beginnings and ends of half a word, of which one edit spares one."""
+    n = len(word)
+    return np.array([xxhash.xxh3_64_intdigest(x) for h in {(n + k) // 2 for k in (-1, 0, 1)} for x in (f"<{word[:h]}", f">{word[-h:]}")], np.uint64)
+
+
+def index_keys(core: str, tokens: list[str], edits: int, seed: int) -> tuple[list[tuple[str, int, int]], list[np.ndarray]]:
+    """What a name proper is found by: (strings with the letters to delete and a seed, hashes as they stand). Any two that are up to ``edits`` (1 or 2) apart as strings
+    or by ``assignment_cost`` share one. Tokens in any order: all but one stand and that one is shortened; for two edits in two tokens, all but two stand and one half
+    of either. Of many tokens two edits spare one fifth, dealt by their hashes. Tokens under four letters have no misspellings."""
+    shorten, exact = list(_whole_keys(core, edits, seed)), []
+    if len(tokens) < 2:
+        return shorten, exact
+    own = [xxhash.xxh3_64_intdigest(t) for t in tokens]
+    whole = sum(own) + seed
+    long = [k for k, t in enumerate(tokens) if len(t) >= 4]
+    for k in long:
+        shorten += _whole_keys(tokens[k], edits if len(tokens[k]) >= 8 else 1, (whole - own[k] + _ONE_TOKEN) & _ALL)
+    if edits == 2 and len(tokens) > MANY:
+        fifths = [0] * 5
+        for h in own:
+            fifths[h % 5] += h
+        exact.append(np.array([(x * (k + 1) + seed + len(tokens) * _MANY_TOKENS) & _ALL for k, x in enumerate(fifths)], np.uint64))
+    elif edits == 2:
+        parts = {k: _halves(tokens[k]) - np.uint64(own[k]) for k in long}
+        exact += [(parts[i][:, None] + parts[j][None, :]).ravel() + np.uint64((whole + _TWO_TOKENS) & _ALL) for i, j in combinations(long, 2)]
+    return shorten, exact
+
+
+def _hooks(cores: DataFrame, most: int, rule: Callable[[str, str, int, int, int, Callable[[str, str], float]], bool], counts: np.ndarray, children: F.Column | None = None, parents: F.Column | None = None) -> DataFrame:
+    """(cid, parent_id): for each core of ``children`` the nearest, then highest, of those ``parents`` (conditions on columns of ``cores``; all, where not given) that share its block, are up to
+    ``most`` edits away as strings or by their tokens, rank higher (of two that rank alike, the one of smaller hash) and that ``rule`` (core, parent, n, m, edits, how odd a core
+    is against a parent) lets be its parent. Names proper under four letters have no misspellings.
+
+    Keys are shuffled and sorted once as hashes; every pair that shares a key is verified. A key is what is left of a whole name or of a name but for one or two misspelt tokens, so
+    pairs are about as many as names that lie twice ``most`` edits apart, however often each is repeated."""
     shared = cores.sparkSession.sparkContext.broadcast(counts)
+    cores = cores.withColumns({"child": F.lit(True) if children is None else children, "parent": F.lit(True) if parents is None else parents}).where("(child or parent) and length(core) >= 4")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                at, keys, ways = [], [], {1: ([], [], []), 2: ([], [], [])}
+                for row, (block, core, token_lists) in enumerate(zip(*(batch.column(j).to_pylist() for j in (1, 2, 3)))):
+                    for tokens in token_lists.split("|"):
+                        shorten, exact = index_keys(core, tokens.split(" "), most, xxhash.xxh3_64_intdigest(block))
+                        for word, edits, seed in shorten:
+                            rows, words, seeds = ways[edits]
+                            rows.append(row)
+                            words.append(word)
+                            seeds.append(seed)
+                        keys += exact
+                        at += [np.full(len(h), row) for h in exact]
+                for edits, (rows, words, seeds) in ways.items():
+                    rows, seeds = np.array(rows, np.int64), np.array(seeds, np.uint64)
+                    for where, h in deletion_hashes(words, seeds, edits):
+                        at.append(rows[where])
+                        keys.append(h)
+                at, keys = np.concatenate(at), np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys)], names=["cid", "rest"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(pairs: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.sort(np.concatenate([np.empty((0, 2), np.int64), *pairs]), axis=1)
+            both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["one", "other"])
+
+        cid, rest = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            names, token_lists = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            seeds = np.array([xxhash.xxh3_64_intdigest(b) for b in batch.column(2).to_pylist()], np.uint64)
-            normal = [k for k, c in enumerate(names) if 5 <= len(c) <= LONG]
-            fixed, orders, owner = [k for k, c in enumerate(names) if not 5 <= len(c) <= LONG], [], []
-            exact, of = [names[k] for k in fixed], list(fixed)
-            for k, t in enumerate(token_lists):
-                near, more = index_keys(names[k], t.split(" "))
-                orders += near
-                owner += [k] * len(near)
-                exact += more
-                of += [k] * len(more)
-            at, keys = [], []
-            for rows, words, edits in ((normal, [names[k] for k in normal], most), (owner, orders, 1)):
-                rows = np.array(rows, np.int64)
-                for where, h in deletion_hashes(words, seeds[rows], edits):
-                    at.append(rows[where])
-                    keys.append(h)
-            at.append(np.array(of, np.int64))
-            keys.append(np.array([xxhash.xxh3_64_intdigest(w, int(seeds[k])) for w, k in zip(exact, of)], np.uint64))
-            at, keys = np.concatenate(at), np.concatenate(keys).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(keys)], names=["cid", "rank", "rest"])
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = ()
-        for batch in batches:
-            cid, rest = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            if last:  # the run that the previous batch ended in goes on: its highest and its last core
-                cid, rest = np.concatenate([last[0], cid]), np.concatenate([last[1], rest])
-            if not len(cid):
-                continue
-            starts = np.concatenate([[True], rest[1:] != rest[:-1]])
-            head = np.maximum.accumulate(np.where(starts, np.arange(len(cid)), 0))
-            follow = np.nonzero(~starts)[0]
-            child, above, before = cid[follow], cid[head[follow]], cid[follow - 1]
-            pairs = np.unique(np.concatenate([np.stack([child, above], 1), np.stack([child, before], 1)]), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            ends = [head[-1], len(cid) - 1]
-            last = (cid[ends], rest[ends])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["cid", "parent_id"])
-
-    ways = cores.select("cid", "rank", "block", "core", "tokens").mapInArrow(spread, "cid bigint, rank bigint, rest bigint")
-    links = ways.repartition("rest").sortWithinPartitions("rest", F.desc("rank"), "cid").mapInArrow(lead, "cid bigint, parent_id bigint").distinct()
-    facts = cores.select("cid", "core", "n", "tokens", "rank")
-    named = links.join(facts, "cid").join(facts.toDF("parent_id", "parent", "m", "others", "above"), "parent_id")
-    named = named.where("above > rank or (above = rank and parent_id < cid)").select("cid", "parent_id", "core", "n", "parent", "m", "tokens", "others", "above")
+            before = len(cid)  # of the run that the previous batch ended in; its pairs are told
+            cid, rest = np.concatenate([cid, batch.column(0).to_numpy()]), np.concatenate([rest, batch.column(1).to_numpy()])
+            pairs, at, j, n = [], np.arange(len(cid)), 1, 0
+            while len(at := at[: np.searchsorted(at, len(cid) - j)]) and len(at := at[rest[at] == rest[at + j]]):
+                fresh = at[at + j >= before]
+                pairs.append(np.stack([cid[fresh], cid[fresh + j]], 1))
+                j, n = j + 1, n + len(fresh)
+                if n > 1 << 20:
+                    yield told(pairs)
+                    pairs, n = [], 0
+            yield told(pairs)
+            if len(rest):
+                last = np.searchsorted(rest, rest[-1])
+                cid, rest = cid[last:], rest[last:]
+
+    ways = cores.select("cid", "block", "core", "tokens").mapInArrow(spread, "cid bigint, rest bigint")
+    links = ways.repartition("rest").sortWithinPartitions("rest").mapInArrow(meet, "one bigint, other bigint").distinct()
+    facts = cores.select("cid", F.struct("rank", F.bitwise_not("cid").alias("order"), "cid", "core", "n", "tokens", "child", "parent").alias("f"))
+    named = links.join(facts.toDF("one", "f"), "one").join(facts.toDF("other", "g"), "other").select(F.least("f", "g").alias("low"), F.greatest("f", "g").alias("high")).where("low.child and high.parent")
+    named = named.select("low.cid", F.col("high.cid").alias("parent_id"), "low.core", "low.n", F.col("high.core").alias("parent"), F.col("high.n").alias("m"), "low.tokens", F.col("high.tokens").alias("others"), F.col("high.rank").alias("above"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = functools.partial(oddness, shared.value)
@@ -499,7 +537,7 @@ def _hooks(cores: DataFrame, most: int, rule: Callable[[str, str, int, int, int,
             for row, (c, n, p, m, a, b) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(2, 8)))):
                 d = within(c, p, most)
                 if d > most and (" " in a or " " in b):
-                    d = min(math.ceil(assignment_cost(a.split(" "), b.split(" "))), 9)
+                    d = min(math.ceil(assignment_cost(x.split(" "), y.split(" "))) for x in a.split("|") for y in b.split("|"))
                 if d <= most and rule(c, p, n, m, d, odd):
                     keep.append(row)
                     found.append(d)
@@ -511,8 +549,9 @@ def _hooks(cores: DataFrame, most: int, rule: Callable[[str, str, int, int, int,
 
 
 def one_edit(core: str, parent: str, n: int, m: int, d: int, odd: Callable[[str, str], float]) -> bool:
-    """Names proper of eight letters or more that are one edit apart are variants; shorter ones if their frequencies and letter triples differ by four together."""
-    return min(len(core), len(parent)) >= 8 or m * odd(core, parent) >= 4 * n
+    """Names proper of eight letters or more that are one edit apart are variants; shorter ones, of four at least, if their frequencies and letter triples differ by four together."""
+    shorter = min(len(core), len(parent))
+    return shorter >= 8 or shorter >= 4 and m * odd(core, parent) >= 4 * n
 
 
 def two_edits(core: str, parent: str, n: int, m: int, d: int, odd: Callable[[str, str], float]) -> bool:
@@ -541,11 +580,11 @@ def _places(placed: DataFrame, cores: DataFrame, counts: np.ndarray) -> DataFram
     firms = cut(placed.where("startswith(block, 'firm|') and block <> 'firm|' and town <> ''").groupBy("block", "town", "root").agg(F.sum("n").alias("n")))
     known = firms.groupBy("block", "root").agg(F.count(F.lit(1)).alias("towns")).where("towns >= 3").select("block", "root", F.lit(True).alias("known"))
     here = firms.join(known.select("block").distinct(), "block", "left_semi").join(known.drop("block"), "root", "left")
-    strings = cores.select(F.col("cid").alias("root"), "core")
-    pool = cut(here.join(strings, "root").where("known or length(core) >= 6").select(F.concat_ws("|", "block", "town").alias("block"), "core", "n", F.col("core").alias("tokens"), "root", "town", "known"))
-    rows = cut(ranked(pool, counts))
+    strings = cores.select(F.col("cid").alias("root"), "core", "tokens")
+    pool = cut(here.join(strings, "root").where("known or length(core) >= 6").select(F.concat_ws("|", "block", "town").alias("block"), "core", "n", "tokens", "root", "town", "known"))
     ids = pool.select(F.xxhash64("block", "core").alias("cid"), "root", "town", "known")
-    hooks = _hooks(rows, 2, in_place, counts)
+    rows = cut(ranked(pool, counts).join(ids.select("cid", "known"), "cid"))
+    hooks = _hooks(rows, 2, in_place, counts, F.col("known").isNull(), F.col("known").isNotNull())
     wrong = hooks.join(ids.where("known is null"), "cid").join(ids.where("known").select(F.col("cid").alias("parent_id"), F.col("root").alias("better")), "parent_id")
     return wrong.select("root", "town", "better")
 
@@ -581,13 +620,16 @@ def name_entities(companies: DataFrame, occurrences: DataFrame) -> DataFrame:
     named = companies.where("id is not null").select(F.coalesce(F.when(F.trim("name") != "", F.col("name")), F.col("normalized_name")).alias("name")).unionByName(occurrences.where("id is not null").select(F.col("company").alias("name")))
     spellings = named.where("trim(name) <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     parsed = expand_short(stored(parse_spellings(spellings, towns, firsts), "names")).withColumn("cid", F.xxhash64("block", "core"))
-    cores = cut(parsed.where("core <> ''").groupBy("block", "core").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")))
+    cores = cut(parsed.where("core <> ''").groupBy("block", "core").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("tokens")), "|").alias("tokens")))
     counts = count_triples(cores)
     cores = stored(ranked(cores, counts), "names")
     near = cut(_hooks(cores, 1, one_edit, counts))
     # what one edit didn't explain may be two edits away from a name that is more frequent, its letter triples too, together eight times at least
-    far = cores.where("length(core) >= 7").join(near, "cid", "left_anti")
-    roots = _roots(cores, near.unionByName(_hooks(far, 2, two_edits, counts)))
+    # (also one that is itself a misspelling); no parent is rarer than the rule asks for the rarest child
+    left = cut(cores.join(near.select("cid", F.lit(True).alias("hooked")), "cid", "left"))
+    child = F.col("hooked").isNull() & (F.length("core") >= 8)
+    rarest = left.where(child).agg(F.min("n")).first()[0] or 0
+    roots = _roots(cores, near.unionByName(_hooks(left, 2, two_edits, counts, child, (F.length("core") >= 6) & (2 * F.col("n") >= 3 * rarest))))
     # one row for each combination of parts, without the spellings
     parts = parsed.where("core <> ''").groupBy("block", "cid", "first", "form", "town").agg(F.sum("n").alias("n"))
     placed = cut(parts.join(roots, "cid"))

@@ -1,12 +1,17 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 from itertools import combinations
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from inkwell.llm import names as N
 from inkwell.llm.names import Parser, assignment_cost, deletes, deletion_hashes, link_names, token_cost, within
 
 COMPANY = "id bigint, name string, normalized_name string, canonical_fields_json string, entity string"
@@ -175,3 +180,67 @@ def test_repeated_tables_have_the_same_links(spark):
     assert len(once) > 40
     for times in (4, 10):
         assert linked(spark, names, times) == once
+
+
+def edited(rng, word, letters):
+    """``word`` with one letter changed, dropped, added or swapped with the next."""
+    i = rng.randrange(len(word))
+    return rng.choice((word[:i] + word[i + 1 :], word[:i] + rng.choice(letters) + word[i:], word[:i] + rng.choice(letters) + word[i + 1 :], word[:i] + word[i : i + 2][::-1] + word[i + 2 :]))
+
+
+def test_names_near_each_other_share_a_key():
+    def keys(tokens, edits):
+        shorten, exact = N.index_keys("".join(sorted(tokens)), sorted(tokens), edits, 5)
+        return {(seed, left) for word, most, seed in shorten for left in deletes(word, most)} | {int(x) for h in exact for x in h}
+
+    rng = random.Random(1)
+    for turn in range(400):
+        edits, size = 1 + turn % 2, rng.choice((1, 1, 2, 3, 5, 18))
+        before = ["".join(rng.choices("abc", k=rng.randrange(4, 45 if size == 1 else 14))) for _ in range(size)]
+        after = list(before)
+        for _ in range(rng.randrange(1, edits + 1)):
+            k = rng.randrange(size)
+            after[k] = edited(rng, after[k], "abc") or after[k]
+        if size > 1 and min(map(len, before + after)) < 4:
+            continue
+        near = within("".join(sorted(before)), "".join(sorted(after)), edits) <= edits or assignment_cost(before, after) <= edits
+        if near and min(len("".join(before)), len("".join(after))) >= 4:
+            assert keys(before, edits) & keys(after, edits), (edits, before, after)
+
+
+def test_links_are_those_of_all_pairs(spark):
+    rng, names = random.Random(2), {"altepost"}
+    for size in (1, 1, 1, 2, 3, 5):
+        for _ in range(4):
+            word = ["".join(rng.choices("abcdefgh", k=rng.randrange(4, 12))) for _ in range(size)]
+            for _ in range(25):
+                near = list(word)
+                for _ in range(rng.randrange(4)):
+                    k = rng.randrange(size)
+                    near[k] = edited(rng, near[k], "abcdefgh") or near[k]
+                names.add(" ".join(sorted(near)))
+    rows = list({n.replace(" ", ""): (f"b{i % 2}", n.replace(" ", ""), rng.choice((1, 1, 2, 5, 30)), n) for i, n in enumerate(sorted(names)) if len(n) >= 4}.values())
+    cores = spark.createDataFrame(rows, "block string, core string, n bigint, tokens string")
+    counts = N.count_triples(cores)
+    cores = N.cut(N.ranked(cores, counts))
+    all_cores = cores.collect()
+    for most, rule, asked in ((1, N.one_edit, lambda r: True), (2, N.two_edits, lambda r: len(r["core"]) % 2), (2, N.in_place, lambda r: len(r["core"]) % 2)):
+        expected = {}
+        for c in all_cores:
+            for p in all_cores:
+                if c["block"] == p["block"] and (p["rank"], -p["cid"]) > (c["rank"], -c["cid"]) and asked(c):
+                    d = within(c["core"], p["core"], most)
+                    d = d if d <= most else math.ceil(assignment_cost(c["tokens"].split(" "), p["tokens"].split(" ")))
+                    if d <= most and rule(c["core"], p["core"], c["n"], p["n"], d, lambda a, b: N.oddness(counts, a, b)):
+                        expected[c["cid"]] = max(expected.get(c["cid"], (-9,)), (-d, p["rank"], p["cid"]))
+        got = {r[0]: r[1] for r in N._hooks(cores, most, rule, counts, F.lit(True) if most == 1 else F.length("core") % 2 == 1).collect()}
+        assert len(expected) > 30
+        assert got == {c: p for c, (_, _, p) in expected.items()}
+
+
+def test_links_to_names_that_are_misspelt_themselves_or_short(spark):
+    frequent, rarer, odd = "Optik Spafomlikeder", "Optik Spafomliketer", "Optik Spfomlikxeter"  # one edit, then two more
+    spellings = [frequent] * 200 + [rarer] * 50 + [odd] + ["Taxi Krog"] * 40 + ["Taxi Kroxg"] + ["Zimmerei Tannhof am Brunnhof bei Wiesenau"] * 40 + ["Zimmerei Xannhof am Brunnxof bei Wiesenau"]
+    companies = [(i, f"{n}", "", None, "") for i, n in enumerate(spellings)]
+    found = {frozenset((spellings[r[1]], spellings[r[2]])) for r in link_names(spark.createDataFrame(companies, COMPANY), spark.createDataFrame([], OCC)).where("left_id % 40 in (0, 10, 11, 12, 13)").collect()}
+    assert {frozenset((frequent, odd)), frozenset((rarer, odd)), frozenset(("Taxi Krog", "Taxi Kroxg")), frozenset(spellings[-2:])} <= found
